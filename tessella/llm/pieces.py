@@ -5,7 +5,7 @@ crosses: runs of marks with the characters that follow, and characters that no p
 words of a batch are sorted, so that they are the paths of a trie in depth-first order; a stack holds the forward scores of the
 current path, and a word only computes those beyond its common prefix with the word before.
 
-The lattice depends on the model.  Unigram: the best sum of scores of pieces.  BPE: a piece may follow another only if the merges
+Of several marks in a row only the last can join a letter's piece; the others merge among themselves.  The lattice depends on the model.  Unigram: the best sum of scores of pieces.  BPE: a piece may follow another only if the merges
 would leave the two side by side (``encode(a + b) == [a, b]``); then exactly one path reaches each position, the one
 that the merges make, so the ids are those of the library.  Characters outside the vocabulary become byte pieces.
 
@@ -47,13 +47,19 @@ class Vocabulary:
     backward: dict = field(init=False)  # trie of the reversed pieces; "" leads to a piece's id
     _rank: dict[int, int] | None = field(init=False, default=None)
     _parts: dict[int, tuple[int, int]] = field(init=False, default_factory=dict)
+    runs: dict[int, int] = field(init=False)  # number of marks -> the piece of them
+    _run_parts: list[list[int]] = field(init=False, default_factory=lambda: [[]])
     _pairs: dict[int, bool] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.ids = {p: i for i, p in enumerate(self.pieces) if self.usable[i]}
+        every = {p: i for i, p in enumerate(self.pieces) if self.usable[i]}
+        self.runs = {len(p): i for p, i in every.items() if not p.strip(MARK)}
+        self.ids = {p: i for p, i in every.items() if len(p) == 1 or p.strip(MARK)}
+        assert MARK in self.ids and not any(p.startswith(2 * MARK) for p in self.ids), "only pieces of marks alone may have several"
+        assert not self.bpe or max((self.scores[i] for n, i in self.runs.items() if n > 1), default=-2e9) < min((self.scores[i] for p, i in self.ids.items() if len(p) > 1), default=0), "runs of marks must merge last"
         assert not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids), "pieces must not cross words"
         self.backward = {}
-        for p, i in self.ids.items():
+        for p, i in (self.ids if self.bpe else every).items():
             node = self.backward
             for c in reversed(p):
                 node = node.setdefault(c, {})
@@ -132,6 +138,17 @@ class Vocabulary:
                     return True
                 limit, a = rank[a], right
 
+    def run(self, n: int) -> list[int]:
+        """Ids of n marks that no letter claims."""
+        if not self.bpe:
+            return next(forward([n * MARK], self))
+        while len(self._run_parts) <= n:  # all their merges score the same, so the leftmost comes first: the parts are a stack
+            parts = [*self._run_parts[-1], 1]
+            while len(parts) > 1 and parts[-2] + parts[-1] in self.runs:
+                parts[-2:] = [parts[-2] + parts[-1]]
+            self._run_parts.append(parts)
+        return [self.runs[k] for k in self._run_parts[n]]
+
     def pattern(self) -> re.Pattern:
         return re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
@@ -141,7 +158,12 @@ def forward(words: list[str], v: Vocabulary) -> Iterator[list[int]]:
     follows, scores, pieces, bpe, root, pairs = v.follows, v.scores, v.pieces, v.bpe, v.backward, v._pairs
     known = pairs.get
     last, score, before = [-1], [0.0], ""  # by length of the prefix: its last piece (-2 - code point: none has it) and score
+    mark = v.ids[MARK]
     for word in words:
+        more = 0
+        if bpe and word.startswith(2 * MARK):  # marks that no letter claims merge after all else
+            more = len(word) - len(word.lstrip(MARK)) - 1
+            word = word[more:]
         n, same = len(word), 0
         for x, y in zip(before, word):
             if x != y:
@@ -181,6 +203,8 @@ def forward(words: list[str], v: Vocabulary) -> Iterator[list[int]]:
                 out += [v.bytes_at[b] for b in reversed(chr(-2 - t).encode())]
                 n -= 1
         out.reverse()
+        if more:
+            out = v.run(more + 1) + out[1:] if out[0] == mark else v.run(more) + out
         yield out
 
 

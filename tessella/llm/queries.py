@@ -5,18 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pieces, quality, signature_tree
+from . import chat, decontaminate, hmm, langid, pieces, quality, signature_tree, transducer, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Hosts whose pages make up the list of op3.
+BAD_HOSTS = r"://([a-z]+\.)*(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\."
+
+
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.join(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; listed are the URLs of pages of bad hosts, in whatever spelling they were crawled."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.mark(pages, pages.where(F.col("url").rlike(BAD_HOSTS))).drop("possible")
+
+
+def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.examples(_table(spark, sf_dir, "conversations"))
+
+
+def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each capture of a crawl of all pages, its nested parts as JSON."""
+    rows = warc.assemble(warc.parse(warc.records_of_pages(_table(spark, sf_dir, "pages"))))
+    return rows.select("capture_id", "target_uri", "date", *(F.to_json(c).alias(c) for c in ("response", "requests", "metadata")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -33,13 +58,20 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_jaccard_join, op6_quality_rules, op7_benchmark_decontamination, op8_language_id, op9_sentencepiece)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_hmm_scores, op2_ngram_jaccard_join, op3_url_filter, op4_prefix_targets, op5_warc_transactions,
+    op6_quality_rules, op7_benchmark_decontamination, op8_language_id, op9_sentencepiece, op10_token_counts,
+)}
 
 #: Words as in kernel.fold_table.
 _JACCARD = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 grams AS (
-    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) END) AS gram
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS gram
     FROM words WHERE len(w) > 0),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
@@ -47,4 +79,45 @@ SELECT doc_a, doc_b, c / (x.n + y.n - c) AS jaccard
 FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.7
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _JACCARD}
+_CANONICAL = r"""
+CASE WHEN host <> '' THEN host || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '(/index)?\.html?$|/+$', '')
+    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END
+"""
+
+_URLS = rf"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://|^//', '') AS rest FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^.*@|:(80|443)$', '', 'g'), '^(www|m)\.', '') AS host,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM a),
+c AS (SELECT page_id, url, {_CANONICAL} AS canonical_url FROM b)
+SELECT page_id, url, canonical_url, canonical_url IS NOT NULL AND canonical_url IN
+    (SELECT canonical_url FROM c WHERE regexp_matches(url, '://([a-z]+\.)*(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\.') AND canonical_url IS NOT NULL) AS listed FROM c
+"""
+
+_PREFIX_TARGETS = r"""
+WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER w - 1 AS position,
+    coalesce(string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context
+    FROM conversations WHERE conv_id IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+e AS (SELECT conv_id, turn, position, position AS n_context, context, coalesce(text, '') AS reply, context || '<|assistant|>' || chr(10) AS head FROM t WHERE role = 'assistant')
+SELECT conv_id, turn, position, n_context, context, reply, head || reply || '<|end|>' || chr(10) AS text, length(head) AS train_start, length(head) + length(reply) + 8 AS train_end FROM e
+"""
+
+
+def _part(kind: str, to: str | None, block: str) -> str:
+    """JSON of one WARC record of a page in SQL."""
+    uid = lambda k: f"'urn:uuid:' || md5('{k}:' || page_id)"
+    link = f"""[{{'k': 'warc-concurrent-to', 'v': '<' || {uid(to)} || '>'}}]""" if to else "[]"
+    return f"""{{'record_id': {uid(kind)}, 'target_uri': url, 'date': '2024-01-01T00:00:00Z', 'headers': {link} ||
+        [{{'k': 'warc-date', 'v': '2024-01-01T00:00:00Z'}}, {{'k': 'warc-record-id', 'v': '<' || {uid(kind)} || '>'}}, {{'k': 'warc-target-uri', 'v': url}}, {{'k': 'warc-type', 'v': '{kind}'}}], 'block': {block}}}"""
+
+
+_CRLF = "chr(13) || chr(10)"
+_WARC = f"""
+WITH p AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_replace(url, '^[a-z]+://[^/?#]*|#.*$', '', 'g') AS path FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)
+SELECT 'urn:uuid:' || md5('response:' || page_id) AS capture_id, url AS target_uri, '2024-01-01T00:00:00Z' AS date,
+    CAST(to_json({_part("response", None, f"'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html' || {_CRLF} || {_CRLF} || html")}) AS VARCHAR) AS response,
+    CAST(to_json([{_part("request", "response", f"'GET ' || CASE WHEN path = '' THEN '/' ELSE path END || ' HTTP/1.1' || {_CRLF} || 'Host: ' || host || {_CRLF} || {_CRLF}")}]) AS VARCHAR) AS requests,
+    CAST(to_json([{_part("metadata", "request", f"'htmlLength: ' || length(html) || {_CRLF}")}]) AS VARCHAR) AS metadata
+FROM p
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _JACCARD, "op3_url_filter": _URLS, "op4_prefix_targets": _PREFIX_TARGETS, "op5_warc_transactions": _WARC}
