@@ -182,9 +182,9 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, j: Joi
     sizes = np.array([len(s) for s in sets], np.int64)
     # exact comparison: bitmaps over the grams that at least two of the sets have
     values, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(often > 1) - 1
-    keep = often[inverse] > 1
-    exact = _bitmaps(rank[inverse[keep]], np.repeat(np.arange(len(sets)), sizes)[keep], len(sets), (int(rank[-1]) // 64 + 1) * 64)
+    shared_by = often > 1
+    rank, keep = np.cumsum(shared_by) - 1, shared_by[inverse]
+    exact = _bitmaps(rank[inverse[keep]], np.repeat(np.arange(len(sets)), sizes)[keep], len(sets), (int(shared_by.sum()) // 64 + 1) * 64)
     shift, out = (0 if right is None else len(left)), ([], [], [])
     limit = max(64, (1 << 21) // exact.shape[1])
     for a_all, b_all in tree.join(other, j.threshold):
