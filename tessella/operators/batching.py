@@ -139,7 +139,7 @@ def collate_arrays(rows: DataFrame, by: list[str], order: str, values: str, fill
 
 def collate_waveforms(rows: DataFrame, by: list[str], order: str, wave: str) -> DataFrame:
     """(by, data, rates, mask): waveforms [channel][time] of a batch padded in time; all must have the same number of channels."""
-    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.monotonically_increasing_id().alias("i"), F.col(f"{wave}.data").alias("d"), F.col(f"{wave}.sample_rate").alias("r")))).alias("__s"))
+    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(f"{wave}.data").alias("d"), F.col(f"{wave}.sample_rate").alias("r")))).alias("__s"))
     waves = F.transform("__s", lambda x: x["d"])
     times = F.transform(waves, lambda w: F.size(w[0]))
     out = packed.withColumn("__w", A.fixed_shape(waves)).withColumn("__l", F.array_max(times))

@@ -330,5 +330,6 @@ class QualityChain:
             after = fold(label, F.col(f"{n}.label"))
             steps.append(F.when(after != label, F.struct(F.lit(n).alias("rule"), label.alias("from"), after.alias("to"))))
             label = after
-        flags = F.flatten(F.array(*(F.transform(F.col(f"{n}.flags"), lambda f, n=n: F.concat(F.lit(f"{n}:"), f)) for n in names)))
+        named = lambda n: F.transform(F.col(f"{n}.flags"), lambda f: F.concat(F.lit(f"{n}:"), f))
+        flags = F.flatten(F.array(*map(named, names)))
         return out.withColumn(self.name, F.struct(label.alias("label"), flags.alias("flags"), F.array_compact(F.array(*steps)).alias("transitions")))
