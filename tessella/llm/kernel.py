@@ -9,6 +9,7 @@ lower-casing).  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import unicodedata
@@ -17,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters handled at once; bounds a worker's memory at about 100 bytes a character.
@@ -68,17 +70,29 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, and an executor has two or more of them."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _allocator()) is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _allocator():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut a batch into runs of rows of at most ``limit`` characters (a longer text stands alone)."""
-    texts = texts_of(batch.column(text))
-    lo = size = 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > limit:
-            yield batch.slice(lo, i - lo), texts[lo:i]
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield batch.slice(lo), texts[lo:]
+    """Cut a batch into runs of rows of at most ``limit`` characters (a longer text stands alone); texts become Python strings run by run."""
+    column = batch.column(text)
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+        part = batch.slice(lo, hi - lo)
+        yield part, texts_of(part.column(text))
+        lo = hi
+    _give_back()
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

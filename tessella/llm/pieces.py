@@ -31,7 +31,7 @@ from . import kernel
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a Python worker keeps between batches; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 
 @dataclass
@@ -225,12 +225,14 @@ class Encoder:
                 found += words
         distinct = set(found)
         new = sorted(distinct - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = sorted(distinct)
-        self.known.update(zip(new, forward(new, self.v)))
+        fresh = dict(zip(new, forward(new, self.v)))
         order = {w: k for k, w in enumerate(distinct)}
-        lists = [self.known[w] for w in order]
+        lists = [fresh[w] if w in fresh else self.known[w] for w in order]
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known.clear()
+        if len(fresh) <= CACHE_WORDS:
+            self.known.update(fresh)
+        del fresh
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
         at = np.fromiter(map(order.__getitem__, found), np.int64, len(found))
@@ -288,7 +290,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            for part, texts in kernel.slices(batch, limit=4 * kernel.SLICE_CHARS):
+            for part, texts in kernel.slices(batch, limit=2 * kernel.SLICE_CHARS):
                 ids, bounds = encoder.encode(texts)
                 same = [x == y for x, y in zip(encoder.decode(ids, bounds), texts)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
