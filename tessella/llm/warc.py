@@ -11,7 +11,8 @@ Defined results: a capture has one response (the smallest record_id; a repeated
 its metadata, ordered by record_id, which may be empty; links to unknown records are ignored; a record naming several responses
 belongs to the smallest; null ids or types are dropped; a null block stays null; empty tables give no rows; other columns are ignored.
 
-Plan: link resolution shuffles ids (no blocks); then one shuffle of the records by capture and an aggregation there.
+Plan: link resolution reads and shuffles ids alone (checkpointed); responses need no link, so their blocks move once, to an
+aggregation by capture; requests and metadata, which are small, move once more, to find theirs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel
+
 KINDS = ("request", "response", "metadata")
 
 
@@ -37,26 +40,43 @@ def parse(raw: DataFrame) -> DataFrame:
     return rows.select(plain(h("warc-record-id")).alias("record_id"), F.lower(h("warc-type")).alias("type"), "concurrent_to", h("warc-target-uri").alias("target_uri"), h("warc-date").alias("date"), "headers", "block")
 
 
+_USABLE = "record_id is not null and type in ('request', 'response', 'metadata')"
+
+
 def capture_ids(records: DataFrame, hops: int = 3) -> DataFrame:
-    """(record_id, capture_id) of every record."""
-    ids = records.where("record_id is not null and type in ('request', 'response', 'metadata')")
-    nodes = ids.groupBy("record_id").agg(F.max(F.col("type") == "response").alias("is_response"))
-    named = ids.select("record_id", F.explode("concurrent_to").alias("to")).where("to is not null and to <> record_id").distinct()
-    # the common case needs no walk: a record that names a response directly
-    known = nodes.select("record_id", F.when(F.col("is_response"), F.col("record_id")).alias("capture"))
-    links = named.select(F.col("record_id").alias("a"), F.col("to").alias("b")).union(named.select(F.col("to").alias("a"), F.col("record_id").alias("b"))).distinct()
+    """(record_id, capture_id) of every record; a response is a capture itself, and so is what shares its id.
+
+    Ids are read once; each hop joins only the links of records that are still open to the ids that the hop before settled."""
+    kernel.shared_checkpoints(records.sparkSession)
+    ids = records.where(_USABLE).select("record_id", (F.col("type") == "response").alias("is_response"), F.coalesce("concurrent_to", F.array().cast("array<string>")).alias("named"))
+    nodes = ids.groupBy("record_id").agg(F.max("is_response").alias("is_response"), F.array_distinct(F.flatten(F.collect_list("named"))).alias("named")).checkpoint()
+    told = nodes.select("record_id", "is_response", F.explode("named").alias("to")).where("to is not null and to <> record_id")
+    open_ = nodes.where("not is_response").select(F.col("record_id").alias("a"))
+    there = told.where("not is_response").select(F.col("record_id").alias("a"), F.col("to").alias("b"))
+    back = told.select(F.col("to").alias("a"), F.col("record_id").alias("b")).join(open_, "a", "left_semi")
+    links = there.union(back).distinct().checkpoint()
+    new = nodes.where("is_response").select(F.col("record_id").alias("b"), F.col("record_id").alias("capture"))
+    settled = None
     for _ in range(hops):
-        reached = links.join(known.where("capture is not null").withColumnRenamed("record_id", "b"), "b").groupBy("a").agg(F.min("capture").alias("near"))
-        known = known.join(reached.withColumnRenamed("a", "record_id"), "record_id", "left").select("record_id", F.coalesce("capture", "near").alias("capture"))
-    alone = named.groupBy("record_id").agg(F.min("to").alias("least"))
-    return known.join(alone, "record_id", "left").select("record_id", F.coalesce("capture", F.least("record_id", "least")).alias("capture_id"))
+        reached = links.join(new, "b").groupBy("a").agg(F.min("capture").alias("capture")).checkpoint()
+        if reached.isEmpty():
+            break
+        settled = reached if settled is None else settled.union(reached)
+        links = links.join(reached, "a", "left_anti").checkpoint()
+        new = reached.withColumnRenamed("a", "b")
+    rest = nodes.select("record_id", F.when(F.col("is_response"), F.col("record_id")).otherwise(F.least("record_id", F.array_min("named"))).alias("capture_id"))
+    if settled is None:
+        return rest
+    done = settled.select(F.col("a").alias("record_id"), F.col("capture").alias("capture_id"))
+    return done.union(rest.join(done, "record_id", "left_anti"))
 
 
 def assemble(records: DataFrame, hops: int = 3) -> DataFrame:
     """(capture_id, target_uri, date, response, requests, metadata): one nested row for each capture."""
     part = F.struct("record_id", "target_uri", "date", "headers", "block")
-    own = records.where("record_id is not null and type in ('request', 'response', 'metadata')").select("record_id", "type", "target_uri", "date", "headers", "block")
-    rows = own.join(capture_ids(records, hops), "record_id").select("capture_id", "type", part.alias("part"))
+    own = records.where(_USABLE).select("record_id", "type", part.alias("part"))
+    others = own.where("type <> 'response'").join(capture_ids(records, hops), "record_id")
+    rows = own.where("type = 'response'").select(F.col("record_id").alias("capture_id"), "type", "part").union(others.select("capture_id", "type", "part"))
     of = lambda kind: F.when(F.col("type") == kind, F.col("part"))
     tidy = lambda c: _by_id(F.array_distinct(F.transform(c, lambda p: F.struct(p["record_id"].alias("record_id"), p["target_uri"].alias("target_uri"), p["date"].alias("date"), F.array_sort(F.transform(F.map_entries(p["headers"]), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))).alias("headers"), p["block"].alias("block")))))
     done = rows.groupBy("capture_id").agg(*(F.collect_list(of(k)).alias(k) for k in KINDS)).select("capture_id", *(tidy(k).alias(k) for k in KINDS))
