@@ -76,7 +76,7 @@ grams AS (
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, c / (x.n + y.n - c) AS jaccard
-FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.7
+FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.55
 """
 
 _CANONICAL = r"""

@@ -25,7 +25,7 @@ def grams(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def similar(rows, threshold=0.7):
+def similar(rows, threshold=S.Join().threshold):
     sets = defaultdict(list)
     for doc_id, text in rows:
         if doc_id is not None and (g := grams(text)):
