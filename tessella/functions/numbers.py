@@ -17,23 +17,27 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-_BEFORE = "(?<![A-Za-z0-9])"
-_PLAIN = re.compile(_BEFORE + rf"(?:{T.GROUPED}|{T.DECIMAL})")
+_BEFORE, _NO_DIGIT = f"(?<!{T.LETTER})(?<![0-9])", r"(?<!\d)"
+_PLAIN = re.compile(f"{_BEFORE}(?:{T.GROUPED}|{T.DECIMAL})")
 _ZH_SCALES = {"万多亿": 12, "万亿": 12, "亿": 8, "万": 4}
 _EN_SCALES = {"thousand": 3, "million": 6, "billion": 9, "trillion": 12}
 _SCALES = _ZH_SCALES | _EN_SCALES
-_SCALED = re.compile(_BEFORE + rf"([+-]?(?:\d{{1,3}}(?:[,\s]\d{{3}})+|\d+)(?:\.\d+)?)[\s-]*({'|'.join(_SCALES)})(?![A-Za-z])", re.I)
-_ZH_DECADE = re.compile(_BEFORE + r"(\d{1,2})\s*世纪\s*(\d{1,2})\s*年代")
-_ZH_MONTH = re.compile(r"(?<!\d)(1[0-2]|0?[1-9])\s*月份?")
-_ZH_YEAR = re.compile(r"(?<!\d)\d{1,4}\s*年(?!代)")
+_SPACED = r"\d{1,3}" + r"(?:[\s,]\d{3})+"
+_SCALED = re.compile(rf"{_BEFORE}({T.SIGN}(?:{_SPACED}|{T.DIGITS}){T.FRACTION})[-\s]*({'|'.join(_SCALES)})(?!{T.LETTER})", re.I)
+_TWO = r"(\d{1,2})\s*"
+_ZH_DECADE = re.compile(rf"{_BEFORE}{_TWO}世纪\s*{_TWO}年代")
+_MONTH_NUMBER = "|".join(["1[012]", "0?[1-9]"])
+_ZH_MONTH = re.compile(rf"{_NO_DIGIT}({_MONTH_NUMBER})\s*月份?")
+_ZH_YEAR = re.compile(_NO_DIGIT + r"\d{1,4}" + r"\s*年(?!代)")
 _MONTHS = {name: k for k, name in enumerate(calendar.month_name) if name}
 _EN_MONTH = re.compile(rf"\b(?:{'|'.join(_MONTHS)})\b")
-_EN_DECADE = re.compile(r"(?<!\d)(\d{3,4})s\b", re.I)
-_ZH_LEFT = re.compile(rf"\d+(?:[.,]\d+)?\s*(?:{'|'.join(['世纪', '年代', '年份?', '月份?', '日', *_ZH_SCALES, '兆', '千', '百'])})")
-_EN_LEFT = re.compile(rf"\b(?:{'|'.join(['early', 'mid', 'late', 'century', 'centuries', 'decades?'])})\b|{_EN_DECADE.pattern}", re.I)
-_FRACTION = re.compile("\\d+\N{FRACTION SLASH}\\d+")
-_PART = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
-_RANGE = re.compile(rf"[+-]?{_PART}(?:-{_PART})+")
+_EN_DECADE = re.compile(_NO_DIGIT + r"(\d{3,4})" + r"s\b", re.I)
+_ZH_LEFT = re.compile(rf"{T.DIGITS}(?:[,.]{T.DIGITS})?\s*(?:{'|'.join(['世纪', '年代', '年份?', '月份?', '日', *_ZH_SCALES, '兆', '千', '百'])})")
+_EN_LEFT = re.compile(rf"\b(?:{'|'.join(['late', 'mid', 'early', 'decades?', 'centuries', 'century'])})\b|\d{{3,4}}s\b", re.I)
+_SLASH, _HYPHEN, _DASH = "⁄", "－", "–"
+_FRACTION = re.compile(T.DIGITS + _SLASH + T.DIGITS)
+_PART = f"(?:{T.THOUSANDS}|{T.DIGITS}){T.FRACTION}"
+_RANGE = re.compile(f"{T.SIGN}{_PART}(?:-{_PART})+")
 _TOKEN = re.compile(T.NUMBER)
 _WHOLE = re.compile(f"(?:{T.GROUPED}|{T.DECIMAL})")
 SCHEMA = "source array<string>, target array<string>, unsupported boolean"
@@ -49,7 +53,7 @@ def canonical(value: str, power: int = 0) -> str:
 
 def comparable(text: str) -> str:
     """NFKC, but a full-width hyphen becomes a dash (no sign), and fractions are blanked."""
-    folded = unicodedata.normalize("NFKC", text.replace("\N{FULLWIDTH HYPHEN-MINUS}", "\N{EN DASH}"))
+    folded = unicodedata.normalize("NFKC", text.replace(_HYPHEN, _DASH))
     return _FRACTION.sub(" ", folded)
 
 

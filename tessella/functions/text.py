@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 
 #: What ``str.isspace`` and ``\s`` accept.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NUMBER = r"[+-]?\d+(?:[.,:/-]\d+)*"
-_CONVERSION = r"[#0+\-]?\d*(?:\.\d+)?[diouxXeEfFgGcrs](?![A-Za-z])"
-PLACEHOLDER = rf"\{{[^{{}}]+\}}|%\([^)]+\){_CONVERSION}|%{_CONVERSION}|\$\d+"
-TAG = r"</?[A-Za-z][^>]{0,80}>"
+DIGITS, SIGN, LETTER = r"\d+", "[-+]?", "[a-zA-Z]"
+FRACTION = rf"(?:\.{DIGITS})?"
+NUMBER = f"{SIGN}{DIGITS}(?:[-/:,.]{DIGITS})*"
+_CONVERSION = rf"[-+#0]?\d*{FRACTION}[{''.join(sorted('diouxXeEfFgGcrs'))}](?!{LETTER})"
+BRACED, DOLLAR = r"\{[^{}]+\}", rf"\${DIGITS}"
+PLACEHOLDER = "|".join([BRACED, rf"%\([^)]+\){_CONVERSION}", f"%{_CONVERSION}", DOLLAR])
+TAG = f"</?{LETTER}[^>]{{0,80}}>"
 _UNITS = "|".join(["世纪", "年代", "年", "月", "日", "万", "亿", "千", "百"])
-COMPLEX = rf"(?iu)\d+(?:[.,]\d+)?\s*(?:{_UNITS})|(?:early|mid|late)\b|(?:centur|decad)(?:ies|es|e|y)\b|\d{{3,4}}s\b"
-GROUPED = r"[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?"
-DECIMAL = r"[+-]?\d+(?:\.\d+)?"
+PERIODS = "|".join([f"(?:{'|'.join(['early', 'late', 'mid'])})\\b", f"(?:decad|centur)(?:{'|'.join(['ies', 'es', 'e', 'y'])})\\b", r"\d{3,4}s\b"])
+COMPLEX = rf"(?iu){DIGITS}(?:[,.]{DIGITS})?\s*(?:{_UNITS})|{PERIODS}"
+THOUSANDS = r"\d{1,3}" + r"(?:,\d{3})+"
+GROUPED = SIGN + THOUSANDS + FRACTION
+DECIMAL = SIGN + DIGITS + FRACTION
 
 _CJK = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
 _SCRIPTS = {

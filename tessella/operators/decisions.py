@@ -27,13 +27,12 @@ from . import universe as U
 
 def normalize_label(value: object) -> str:
     """True accepts, False rejects; enums by value, then name; anything else must be a non-empty string."""
-    if isinstance(value, bool):
-        return "accept" if value else "reject"
-    if isinstance(value, Enum):
-        value = value.value if isinstance(value.value, str) else value.name
-    if not isinstance(value, str) or not value:
-        raise ValueError(f"not a label: {value!r}")
-    return value
+    if value is True or value is False:
+        return ("reject", "accept")[value]
+    label = value if not isinstance(value, Enum) else value.value if isinstance(value.value, str) else value.name
+    if isinstance(label, str) and label:
+        return label
+    raise ValueError(f"{value!r} names no label")
 
 
 def label_of(value: Column, kind: str) -> Column:

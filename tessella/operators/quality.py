@@ -21,18 +21,20 @@ from ..functions import text as T
 ACCEPT, REVIEW, REJECT = "accept", "review", "reject"
 
 
+def _number(name: str, value: float, low: float, high: float = math.inf) -> None:
+    """A plain number above ``low`` (or from 0, for ratios) and up to ``high``."""
+    if type(value) not in (int, float):
+        raise TypeError(f"{name} is no number: {value!r}")
+    if not low <= value <= high or math.isinf(value):
+        raise ValueError(f"{name} is out of range: {value!r}")
+
+
 def _ratio(name: str, value: float) -> None:
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
-        raise TypeError(f"{name} must be a number")
-    if not (math.isfinite(value) and 0 <= value <= 1):
-        raise ValueError(f"{name} must be from 0 to 1")
+    _number(name, value, 0, 1)
 
 
 def _positive(name: str, value: float) -> None:
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
-        raise TypeError(f"{name} must be a number")
-    if not (math.isfinite(value) and value > 0):
-        raise ValueError(f"{name} must be positive")
+    _number(name, value, math.ulp(0.0))
 
 
 def _flags(pairs: Sequence[tuple[str, Column]]) -> Column:
@@ -239,18 +241,20 @@ class CorrectionDistance:
 
 @dataclass(frozen=True)
 class SpeechProfile:
-    min_utmos: float = 2.8
-    max_wer: float | None = None
-    min_chrf: float = 50.0
+    # of the audio itself
     max_duration_seconds: float | None = None
-    max_seconds_per_text_unit: float | None = 4.0
     min_peak_amplitude: float | None = 0.05
+    max_seconds_per_text_unit: float | None = 4.0
+    # of an evaluator
+    min_utmos: float = 2.8
+    min_chrf: float = 50.0
     min_bleu: float | None = None
+    max_wer: float | None = None
 
     def __post_init__(self):
         for name, value in vars(self).items():
-            if value is not None and not math.isfinite(value):
-                raise ValueError(f"{name} must be finite")
+            if value is not None:
+                _number(name, value, -math.inf)
 
 
 def speech_metrics(wave: Column, rate: Column, reference: Column) -> Column:

@@ -194,7 +194,7 @@ def combine(left: DataFrame, right: DataFrame, key: str = "sample_index") -> Dat
 
 def identity(kind: str, **parts: object) -> str:
     """16 hex digits of a declared identity."""
-    text = json.dumps({"kind": kind, **parts}, sort_keys=True, separators=(",", ":"), default=str)
+    text = json.dumps({"kind": kind, **parts}, default=str, separators=(",", ":"), sort_keys=True)
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 

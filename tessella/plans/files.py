@@ -14,7 +14,7 @@ from pathlib import Path
 def write_json(path: Path, value: object) -> None:
     """Replace a small file as a whole; canonical JSON."""
     path.parent.mkdir(parents=True, exist_ok=True)
-    fresh = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+    fresh = path.parent / f".new-{uuid.uuid4().hex}-{path.name}"
     with fresh.open("w") as f:
         f.write(canonical(value))
         f.flush()
@@ -23,7 +23,7 @@ def write_json(path: Path, value: object) -> None:
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return json.dumps(value, allow_nan=False, separators=(",", ":"), sort_keys=True)
 
 
 @contextmanager

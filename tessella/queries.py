@@ -67,7 +67,7 @@ _RUNS = """chars AS (SELECT doc_id, unnest(string_split(n, '')) AS c, generate_s
     groups AS (SELECT doc_id, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marks),
     runs AS (SELECT doc_id, max(n) AS repeated_run FROM (SELECT doc_id, g, count(*) AS n FROM groups GROUP BY ALL) GROUP BY doc_id)"""
 _NORM = r"norm AS (SELECT doc_id, lang, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS n FROM documents)"
-_TAG, _SLOT, _NUM = r"</?[A-Za-z][^>]{0,80}>", r"\{[^{}]+\}|\$\d+", r"[+-]?\d+(?:[.,:/-]\d+)*"
+_TAG, _SLOT, _NUM = T.TAG, f"{T.BRACED}|{T.DOLLAR}", T.NUMBER
 _BARE = rf"regexp_replace(regexp_replace(regexp_replace(n, '{_TAG}', ' ', 'g'), '{_SLOT}', ' ', 'g'), '{_NUM}', ' ', 'g')"
 _METRICS = rf"""{_NORM}, {_RUNS},
     m AS (SELECT doc_id, lang, length(regexp_replace(n, '\s', '', 'g')) AS chars, len(regexp_extract_all(n, '{_NUM}')) AS n_numbers,
@@ -82,7 +82,7 @@ def text_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("doc_id", "m.chars", "m.control_ratio", "m.repeated_run", F.size("m.numbers").cast("long").alias("n_numbers"), "m.script_chars", F.round("m.script_ratio", 9).alias("script_ratio"))
 
 
-_VALUE = r"""CASE WHEN regexp_full_match(k, '[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?') OR regexp_full_match(k, '[+-]?\d+(?:\.\d+)?') THEN
+_VALUE = rf"""CASE WHEN regexp_full_match(k, '{T.GROUPED}') OR regexp_full_match(k, '{T.DECIMAL}') THEN
     CASE WHEN k LIKE '-%' THEN '-' ELSE '' END || coalesce(nullif(ltrim(regexp_extract(replace(k, ',', ''), '^[+-]?(\d+)', 1), '0'), ''), '0')
     || CASE WHEN rtrim(regexp_extract(k, '\.(\d+)$', 1), '0') = '' THEN '' ELSE '.' || rtrim(regexp_extract(k, '\.(\d+)$', 1), '0') END ELSE k END"""
 
@@ -93,7 +93,7 @@ def number_values(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.select("doc_id", "token", T.number_value(F.col("token")).alias("value"))
 
 
-@query(rf"SELECT k AS tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '{_TAG.replace('A-Za-z', 'a-z')}')) AS k FROM pages) GROUP BY k")
+@query(rf"SELECT k AS tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '{_TAG.replace('a-zA-Z', 'a-z')}')) AS k FROM pages) GROUP BY k")
 def html_tags(spark: SparkSession, sf: str) -> DataFrame:
     tags = table(spark, sf, "pages").select("page_id", F.explode(T.html_tags(F.col("html"))).alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
@@ -269,8 +269,8 @@ _PAIR_FLAGS = rf"""WITH {_PAIRS}, n AS (SELECT sample_index, trim(regexp_replace
     m AS (SELECT *, length(replace(s, ' ', '')) AS sc, length(replace(t, ' ', '')) AS tc, CASE WHEN length(replace(s, ' ', '')) = 0 THEN 0.0 ELSE length(replace(t, ' ', ''))::DOUBLE / length(replace(s, ' ', '')) END AS r,
         list_sort(list_transform(regexp_extract_all(s, '{_NUM}'), lambda k: {_VALUE})) AS sn, list_sort(list_transform(regexp_extract_all(t, '{_NUM}'), lambda k: {_VALUE})) AS tn,
         list_sort(regexp_extract_all(s, '{_NUM}')) AS st, list_sort(regexp_extract_all(t, '{_NUM}')) AS tt FROM n),
-    o AS (SELECT *, len(list_filter(st || tt, lambda k: NOT regexp_full_match(k, '[+-]?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?') AND NOT regexp_full_match(k, '[+-]?\d+(?:\.\d+)?'))) > 0
-        OR regexp_matches(s || ' ' || t, '(?i)\b(?:early|mid|late)\b|(?:centur|decad)(?:y|ies|e|es)\b|\d{{3,4}}s\b') AS odd FROM m),
+    o AS (SELECT *, len(list_filter(st || tt, lambda k: NOT regexp_full_match(k, '{T.GROUPED}') AND NOT regexp_full_match(k, '{T.DECIMAL}'))) > 0
+        OR regexp_matches(s || ' ' || t, '(?i){T.PERIODS}') AS odd FROM m),
     f AS (SELECT sample_index, r, list_filter([CASE WHEN r < 0.05 THEN 'target_extremely_short' END, CASE WHEN r >= 0.05 AND r < 0.2 THEN 'target_short' END, CASE WHEN r > 20 THEN 'target_extremely_long' END,
         CASE WHEN r > 6 AND r <= 20 THEN 'target_long' END, CASE WHEN lower(s) = lower(t) THEN 'identical_text' END,
         CASE WHEN list_sort(regexp_extract_all(s, '{_SLOT}')) <> list_sort(regexp_extract_all(t, '{_SLOT}')) THEN 'placeholder_mismatch' END,
