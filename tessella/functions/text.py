@@ -60,20 +60,26 @@ def _newer(letters: bool) -> str:
     return _ranges(c for c in spans if (chr(c).isalpha() if letters else not unicodedata.category(chr(c)).startswith("C")))
 
 
+def _above(low: int, ranges: str) -> str:
+    """Class of ranges behind one comparison, so that common characters don't walk through all of them."""
+    return rf"[\x{{{low:x}}}-\x{{10ffff}}&&[{ranges}]]+"
+
+
 @lru_cache
-def letter_class() -> str:
-    """Letters that count for the script ratio: ``str.isalpha`` or the CJK ranges."""
-    return rf"[\p{{L}}{_newer(True)}{''.join(f'\\x{{{a:x}}}-\\x{{{b:x}}}' for a, b in _CJK)}]"
+def letters() -> str:
+    """Pattern of letters that count for the script ratio: ``str.isalpha`` or the CJK ranges."""
+    return rf"\p{{L}}+|{_above(0x870, _newer(True) + ''.join(f'\\x{{{a:x}}}-\\x{{{b:x}}}' for a, b in _CJK))}"
 
 
 @lru_cache
-def script_class(script: str) -> str:
-    """Letters of a script: CJK by range, others by their character name."""
+def script_letters(script: str) -> str:
+    """Pattern of a script's letters: CJK by range, others by their character name."""
     if script == "cjk":
-        return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _CJK) + "]"
-    name = script.upper()
-    top = 0xE000 if script == "hangul" else 0x20000
-    return "[" + _ranges(c for c in range(top) if chr(c).isalpha() and name in unicodedata.name(chr(c), "")) + "]"
+        return _above(0x3400, "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _CJK))
+    name, top = script.upper(), 0xE000 if script == "hangul" else 0x20000
+    codes = [c for c in range(0x80, top) if chr(c).isalpha() and name in unicodedata.name(chr(c), "")]
+    common = LETTER + "+|" if script == "latin" else ""
+    return common + _above(codes[0], _ranges(codes))
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -165,7 +171,7 @@ def script_text(text: Column) -> Column:
 def script_chars(text: Column, lang: str) -> Column:
     if lang not in SCRIPT_OF:
         return F.lit(0).cast("long")
-    return _count(script_text(text), letter_class() + "+")
+    return _count(script_text(text), letters())
 
 
 def script_ratio(text: Column, lang: str) -> Column:
@@ -173,7 +179,7 @@ def script_ratio(text: Column, lang: str) -> Column:
     if lang not in SCRIPT_OF:
         return F.lit(None).cast("double")
     bare = script_text(text)
-    all_, own = _count(bare, letter_class() + "+"), _count(bare, script_class(SCRIPT_OF[lang]) + "+")
+    all_, own = _count(bare, letters()), _count(bare, script_letters(SCRIPT_OF[lang]))
     return F.when(all_ > 0, own.cast("double") / all_)
 
 
