@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hmm, langid, pieces, quality, signature_tree, transducer, url_filter, warc
+from . import chat, decontaminate, hmm, kernel, langid, pieces, quality, signature_tree, transducer, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumn("score", F.round("score", 9))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,4 +120,29 @@ SELECT 'urn:uuid:' || md5('response:' || page_id) AS capture_id, url AS target_u
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _JACCARD, "op3_url_filter": _URLS, "op4_prefix_targets": _PREFIX_TARGETS, "op5_warc_transactions": _WARC}
+_M = "18446744073709551616::UHUGEINT"
+
+
+def _finish(h: str) -> str:
+    """Bucket of a 64-bit hash, as kernel.finish and the top 16 bits."""
+    mixed = f"((xor(({h})::UBIGINT, ({h})::UBIGINT >> 32)::UHUGEINT * {int(kernel._FINISH)}) % {_M})::UBIGINT"
+    return f"xor({mixed}, {mixed} >> 29) >> 48"
+
+
+#: The polynomial word hash of the kernel in 128-bit arithmetic, counted and scored as quality.Rules() says.
+_QUALITY = f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents),
+tokens AS (SELECT r, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words),
+vocabulary AS (SELECT w, list_reduce(list_reverse(list_transform(string_split(w, ''), lambda c: ((unicode(c) + 1)::UHUGEINT * {int(kernel._STEP)}) % {_M})), lambda h, v: (h * {kernel._BASE} + v) % {_M}) AS h
+    FROM (SELECT DISTINCT w FROM tokens)),
+hashed AS (SELECT r, doc_id, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS g FROM tokens JOIN vocabulary USING (w)),
+grams AS (SELECT r, doc_id, ((h + 1) % {_M}) AS h FROM hashed UNION ALL SELECT r, doc_id, ((h * {int(kernel._STEP)} + g + 2) % {_M}) FROM hashed WHERE g IS NOT NULL),
+buckets AS (SELECT r, doc_id, {_finish("h")} AS b FROM grams),
+counts AS (SELECT b, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)) AS target FROM buckets GROUP BY b),
+totals AS (SELECT sum(raw)::DOUBLE AS n, sum(target)::DOUBLE AS t, 65536.0::DOUBLE AS m FROM counts),
+ratio AS (SELECT b, ln((target + 16 * (raw + 1) * m / (n + m)) / (t + 16 * m)) - ln((raw + 1) / (n + m)) AS x FROM counts, totals),
+scores AS (SELECT r, count(*) AS n_grams, sum(x) / (count(*) + 16) AS score FROM buckets JOIN ratio USING (b) GROUP BY r)
+SELECT doc_id, coalesce(n_grams, 0) AS n_grams, round(score, 9) AS score, coalesce(score >= -0.05, false) AS keep FROM words LEFT JOIN scores USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op6_quality_rules": _QUALITY, "op2_ngram_jaccard_join": _JACCARD, "op3_url_filter": _URLS, "op4_prefix_targets": _PREFIX_TARGETS, "op5_warc_transactions": _WARC}
