@@ -535,7 +535,7 @@ def lang_remap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", S.remap_lang(odd).alias("lang"))
 
 
-@query("SELECT vec_id, len(embedding) // 2 AS n, round((embedding[1]::DOUBLE + embedding[33]::DOUBLE) / 2, 6) AS first FROM embeddings")
+@query("SELECT vec_id, len(embedding) // 2 AS n, round(((embedding[1]::DOUBLE + embedding[33]::DOUBLE) / 2)::FLOAT::DOUBLE, 6) AS first FROM embeddings")
 def mono_resample(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as two channels of 32 samples: their mean."""
     wave = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
