@@ -1,10 +1,13 @@
 """Language-model scoring with a hidden Markov model.
 
-A document is one sequence of words (without case; marks and white space don't count), each a symbol of ``2**bits`` hash buckets.
+A document is one sequence of words (without case; marks and white space don't count).  Each distinct word of the corpus is a symbol of
+its own (told apart by 64-bit hashes), and one more symbol stands for any word that the corpus doesn't have.
 Baum-Welch trains ``states`` latent states on *every* document: each task runs the scaled forward and
-backward recursions over its documents and emits expected counts; the counts are summed across partitions by bucket, and the
-driver, which holds nothing but the model (states x buckets), normalises them into the next model.  Counts travel
-as integers of 2**-20, so their sums don't depend on the order of tasks.
+backward recursions over its documents and emits expected counts; the counts are summed across partitions by word, and the
+driver streams them into the next model.  Counts travel as integers of 2**-20, so their sums don't depend on the order of tasks.
+
+The emission table grows with the distinct words.  It lies in the shared folder as two arrays, the sorted hashes and the rows in
+their order, which workers map and of which they copy the rows of one run of documents; neither they nor the driver hold it whole.
 
 The score of a document is its exact log-likelihood under the trained model, by the scaled forward recursion.  Sequences longer than
 ``segment`` symbols are cut for the recursion only: each segment's transfer matrix is multiplied out in lockstep with all
@@ -13,16 +16,21 @@ others, the matrices are chained, and so every position has the very forward and
 Defined results: a null, empty or wordless text has 0 tokens, log-likelihood 0 and a null mean; it adds nothing to training; a repeated
 row counts and is scored each time; a corpus without words leaves the initial model; other columns are ignored.
 
-Plan: ``rounds`` + 1 narrow scans of the texts; each round shuffles one row for each bucket that a run of ``flush`` words met.
+Plan: ``rounds`` + 2 narrow scans of the texts; the first shuffles one row for each distinct word of a run of ``flush`` words, and
+so does each round.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +42,7 @@ _UNIT = float(1 << 20)
 @dataclass(frozen=True)
 class Settings:
     states: int = 4
+    #: top bits of a word's hash that choose its row of the initial model
     bits: int = 15
     rounds: int = 3
     #: added to every expected count
@@ -46,11 +55,43 @@ class Settings:
     seed: int = 11
 
 
+@dataclass
+class Emission:
+    """Rows of the corpus vocabulary in mapped files, indexed by word hash; the last row is that of unknown words."""
+
+    words_at: str
+    rows_at: str
+
+    def __getstate__(self) -> dict[str, str]:
+        return {"words_at": self.words_at, "rows_at": self.rows_at}
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        """Sorted hashes (no file of no words can be mapped)."""
+        return np.memmap(self.words_at, np.int64, "r") if Path(self.words_at).stat().st_size else np.zeros(0, np.int64)
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        return np.load(self.rows_at, mmap_mode="r")
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Row numbers."""
+        n = len(self.words)
+        at = np.searchsorted(self.words, hashes)
+        return np.where((at < n) & (self.words[np.minimum(at, n - 1)] == hashes), at, n) if n else np.zeros_like(at)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.rows[self.slots(hashes)]
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.array(self.rows, dtype)
+
+
 @dataclass
 class Model:
     initial: np.ndarray  # states
     transition: np.ndarray  # states x states
-    emission: np.ndarray  # buckets x states
+    emission: np.ndarray | Emission  # symbols x states
 
     @classmethod
     def start(cls, s: Settings) -> Model:
@@ -63,6 +104,12 @@ class Model:
 
         return cls(rows(s.states), rows(s.states, s.states), np.ascontiguousarray(rows(s.states, size).T))
 
+    def part(self, symbols: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
+        """The model of the words that occur in ``symbols``, the symbols in it, and the row numbers of its words."""
+        words, local = np.unique(symbols, return_inverse=True)
+        slots = self.emission.slots(words)
+        return Model(self.initial, self.transition, np.array(self.emission.rows[slots])), local, slots
+
 
 @dataclass
 class Counts:
@@ -76,8 +123,9 @@ class Counts:
 
 
 def symbols_of(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the bounds of the texts."""
     words = kernel.Words(texts)
-    return (kernel.finish(words.raw) >> np.uint64(64 - s.bits)).astype(np.int64), words.bounds
+    return kernel.finish(words.raw).view(np.int64), words.bounds
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], s: Settings, ids: bool) -> Iterator[tuple[pa.Array | None, np.ndarray, np.ndarray]]:
@@ -213,47 +261,101 @@ class Recursion:
         return float(np.log(self.scales).sum())
 
 
+def _folder(docs: DataFrame) -> str:
+    """A new folder that driver and workers share."""
+    kernel.shared_checkpoints(docs.sparkSession)
+    path = Path(docs.sparkSession.sparkContext.getCheckpointDir().removeprefix("file:"), f"hmm-{uuid.uuid4().hex}")
+    path.mkdir(parents=True)
+    return str(path)
+
+
+def vocabulary(docs: DataFrame, s: Settings, folder: str) -> Emission:
+    """The initial emission table of all distinct words; the driver writes it part by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, symbols, _ in _sequences(batches, s, ids=False):
+            held.append(np.unique(symbols))
+            n += len(symbols)
+            if n >= s.flush:
+                yield pa.record_batch({"word": np.unique(np.concatenate(held))})
+                held, n = [], 0
+        if n:
+            yield pa.record_batch({"word": np.unique(np.concatenate(held))})
+
+    docs.where("text is not null").select("text").mapInArrow(run, "word long").distinct().orderBy("word").write.parquet(f"file://{folder}/vocabulary")
+    emission = Emission(f"{folder}/words", f"{folder}/start.npy")
+    with open(emission.words_at, "wb") as out:
+        for path in sorted(Path(folder, "vocabulary").glob("*.parquet")):  # parts are in order
+            for batch in ds.dataset(path).to_batches():
+                out.write(batch.column("word").to_numpy().tobytes())
+    start, size = Model.start(s).emission, len(emission.words) + 1
+    rows = np.lib.format.open_memmap(emission.rows_at, "w+", np.float64, (size, s.states))
+    for lo in range(0, size - 1, 1 << 20):
+        words = emission.words[lo : lo + (1 << 20)]
+        rows[lo : lo + len(words)] = start[words.view(np.uint64) >> np.uint64(64 - s.bits)]
+    rows[-1] = start.mean(axis=0)
+    _normalise(rows)
+    return emission
+
+
+def _normalise(rows: np.ndarray) -> None:
+    total = sum(rows[lo : lo + (1 << 20)].sum(axis=0) for lo in range(0, len(rows), 1 << 20))
+    for lo in range(0, len(rows), 1 << 20):
+        rows[lo : lo + (1 << 20)] /= total
+    rows.flush()
+
+
 def counts(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
-    """(slot, c0 ..): expected counts over all documents; slots from 0 are buckets, -1 the initial state, -2 - i the transitions out of i."""
+    """(slot, c0 ..): expected counts over all documents; slots from 0 are rows of the emission table, -1 the initial state, -2 - i the transitions out of i."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(s.states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = Counts.none(s), 0
+        held, words = [], 0
         for _, symbols, bounds in _sequences(batches, s, ids=False):
-            Recursion(shared.value, symbols, bounds, s.segment).expect(total)
+            model, local, slots = shared.value.part(symbols)
+            total = Counts(np.zeros(s.states), np.zeros((s.states, s.states)), np.zeros((len(slots), s.states)))
+            Recursion(model, local, bounds, s.segment).expect(total)
+            held.append((slots, total))
             words += len(symbols)
             if words >= s.flush:
-                yield _rows(total, names)
-                total, words = Counts.none(s), 0
+                yield _rows(held, names)
+                held, words = [], 0
         if words:
-            yield _rows(total, names)
+            yield _rows(held, names)
 
     sums = [F.sum(c).alias(c) for c in names]
-    return docs.where("text is not null").select("text").mapInArrow(run, "slot int, " + ", ".join(f"{c} long" for c in names)).groupBy("slot").agg(*sums)
+    return docs.where("text is not null").select("text").mapInArrow(run, "slot long, " + ", ".join(f"{c} long" for c in names)).groupBy("slot").agg(*sums)
 
 
-def _rows(c: Counts, names: list[str]) -> pa.RecordBatch:
-    some = np.flatnonzero(c.emission.any(axis=1))
-    table = np.rint(np.concatenate([c.emission[some], c.initial[None], c.transition]) * _UNIT).astype(np.int64)
-    slots = np.concatenate([some, -1 - np.arange(len(names) + 1)]).astype(np.int32)
+def _rows(held: list[tuple[np.ndarray, Counts]], names: list[str]) -> pa.RecordBatch:
+    some, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    values = np.concatenate([c.emission for _, c in held])
+    emission = np.stack([np.bincount(at, values[:, i], len(some)) for i in range(len(names))], axis=1)
+    table = np.rint(np.concatenate([emission, sum(c.initial for _, c in held)[None], sum(c.transition for _, c in held)]) * _UNIT).astype(np.int64)
+    slots = np.concatenate([some, -1 - np.arange(len(names) + 1)]).astype(np.int64)
     return pa.record_batch({"slot": slots, **{n: table[:, i] for i, n in enumerate(names)}})
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
-    model = Model.start(s)
-    for _ in range(s.rounds):
-        table = counts(docs, model, s).toArrow()
-        slot = table.column("slot").to_numpy()
-        if not len(slot):
-            return model
-        values = np.stack([table.column(f"c{i}").to_numpy() for i in range(s.states)], axis=1) / _UNIT
-        total = Counts.none(s)
-        total.emission[slot[slot >= 0]] = values[slot >= 0]
-        total.initial = values[slot == -1][0]
-        total.transition[-2 - slot[slot < -1]] = values[slot < -1]
-        a, b, c = (x + s.smoothing for x in (total.initial, total.transition, total.emission))
-        model = Model(a / a.sum(), b / b.sum(axis=1, keepdims=True), np.ascontiguousarray(c / c.sum(axis=0)))
+    folder, first = _folder(docs), Model.start(s)
+    model = Model(first.initial, first.transition, vocabulary(docs, s, folder))
+    if not len(model.emission.words):
+        return model
+    for k in range(s.rounds):
+        counts(docs, model, s).write.parquet(f"file://{folder}/counts-{k}")
+        rows = np.lib.format.open_memmap(f"{folder}/{k}.npy", "w+", np.float64, (len(model.emission.words) + 1, s.states))
+        rows[:] = s.smoothing
+        heads = np.full((s.states + 1, s.states), s.smoothing)
+        for batch in ds.dataset(f"{folder}/counts-{k}", format="parquet").to_batches():
+            slot = batch.column("slot").to_numpy()
+            values = np.stack([batch.column(f"c{i}").to_numpy() for i in range(s.states)], axis=1) / _UNIT
+            rows[slot[slot >= 0]] += values[slot >= 0]
+            heads[-1 - slot[slot < 0]] += values[slot < 0]
+        _normalise(rows)
+        Path(model.emission.rows_at).unlink()
+        model = Model(heads[0] / heads[0].sum(), heads[1:] / heads[1:].sum(axis=1, keepdims=True), Emission(model.emission.words_at, f"{folder}/{k}.npy"))
     return model
 
 
@@ -264,7 +366,8 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, symbols, bounds in _sequences(batches, s, ids=True):
             n = np.diff(bounds)
-            total = Recursion(shared.value, symbols, bounds, s.segment).likelihood(len(n))
+            model, local, _ = shared.value.part(symbols)
+            total = Recursion(model, local, bounds, s.segment).likelihood(len(n))
             yield pa.record_batch({"doc_id": ids, "n_tokens": n, "log_likelihood": total, "mean_log_likelihood": pa.array(total / np.maximum(n, 1), mask=n == 0)})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")

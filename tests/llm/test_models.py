@@ -76,6 +76,18 @@ def test_hmm_odd_rows(odd, empty):
     assert hmm.score(empty, hmm.Settings(bits=8, rounds=1)).collect() == []
 
 
+def test_every_distinct_word_has_its_own_row_and_unknown_words_share_one(spark, documents):
+    s = hmm.Settings(bits=2, rounds=1)
+    known = {w for r in documents.select("text").collect() for w in words(r["text"])}
+    model = hmm.train(documents, s)
+    assert len(np.asarray(model.emission)) == len(known) + 1
+    rows = spark.createDataFrame([(1, "often " * 200 + "seldom"), (2, "and and other")], "doc_id long, text string")
+    model = hmm.train(rows, s)
+    often, seldom, never, none = (model.emission[hmm.symbols_of([w], s)[0][0]] for w in ("often", "seldom", "never", "nowhere"))
+    assert (often > 10 * seldom).all() and (seldom > never).all() and (never == none).all()
+    assert np.allclose(np.asarray(model.emission).sum(axis=0), 1)
+
+
 def test_counts_do_not_depend_on_partitions(documents):
     s = hmm.Settings(bits=8, rounds=1)
     one, many = (hmm.train(documents.repartition(n), s) for n in (1, 7))
