@@ -14,8 +14,8 @@ from tessella.llm import decontaminate, kernel, langid, pieces, quality, signatu
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold go."""
-    return quality.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that score below the threshold or have a word typical of toxic ones go."""
+    return quality.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity=quality.Toxicity())
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,12 @@ counts and is scored each time; null labels make no document trusted; without an
 so every text with a word is kept; empty tables give empty results; other columns are ignored by :func:`score`
 and passed on unread by :func:`accept`.
 
+:func:`accept` can also reject texts with a word that is typical of documents labelled toxic (:class:`Toxicity`), however long they are:
+a word whose share of toxic documents is ``ratio`` (a logarithm) above its share of trusted ones, and whose log-likelihood ratio
+statistic is at least twice the logarithm of the number of words looked at.  Near copies (equal MinHash) count as one document.
+
 Plan: two scans of (doc_id, text), one shuffle of at most ``2**bits`` rows a task; no text is moved.
+:class:`Toxicity` adds a scan and a shuffle of the distinct words of each labelled document.
 """
 
 from __future__ import annotations
@@ -41,6 +46,11 @@ class Rules:
     threshold: float = -0.05
 
 
+@dataclass(frozen=True)
+class Toxicity:
+    ratio: float = 4.0
+
+
 def _buckets(texts: list[str], rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text number of every n-gram."""
     words = kernel.Words(texts, kernel.token_table())
@@ -100,6 +110,62 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
 
 
+def _word_rows(texts: list[str], toxic: np.ndarray) -> pa.RecordBatch:
+    """(word, toxic, copy): the distinct words of each text, and a null word for the text itself; ``copy`` is the same for near copies."""
+    words = kernel.Words(texts)
+    h, some = kernel.finish(words.raw), np.flatnonzero(words.counts())
+    copy = np.zeros(len(some), np.uint64)
+    for salt in range(3 * bool(len(some))):
+        least = np.minimum.reduceat(kernel.finish(h + np.uint64(salt)), words.bounds[:-1][some])
+        copy = kernel.finish(copy + least)
+    owner = np.repeat(np.arange(len(some)), words.counts()[some])
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    at = np.concatenate([owner[new], np.arange(len(some))])
+    word = np.concatenate([h[new], np.zeros(len(some), np.uint64)]).view(np.int64)
+    return pa.record_batch({"word": pa.array(word, mask=np.arange(len(at)) >= new.sum()), "toxic": toxic[some][at], "copy": copy.view(np.int64)[at]})
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, toxicity: Toxicity) -> np.ndarray:
+    """Hashes of the words that are typical of toxic documents; the driver gets no others."""
+    spark, marked = docs.sparkSession, None
+    kernel.shared_checkpoints(spark)
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max(F.expr("coalesce(toxic = 1, false)")).alias("toxic"), F.max(F.expr("coalesce(quality = 1 and toxic = 0, false)")).alias("good")
+    ).where("toxic or good").select("doc_id", "toxic")
+    head = known.limit(ID_ARRAY_LIMIT + 1).toArrow()
+    if len(head) <= ID_ARRAY_LIMIT:
+        ids, toxic = head.column("doc_id").to_numpy(), head.column("toxic").to_numpy()
+        marked = spark.sparkContext.broadcast((np.sort(ids), np.sort(ids[toxic])))
+        rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    else:
+        rows = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in kernel.slices(batch):
+                if marked is None:
+                    yield _word_rows(texts, part.column("toxic").to_numpy(zero_copy_only=False))
+                else:
+                    ids = part.column("doc_id").to_numpy()
+                    at = np.flatnonzero(np.isin(ids, marked.value[0]))
+                    yield _word_rows([texts[i] for i in at], np.isin(ids[at], marked.value[1]))
+
+    each = rows.mapInArrow(count, "word long, toxic boolean, copy long").distinct()
+    table = each.groupBy("word").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).checkpoint()
+    total = table.where("word is null").first()
+    if total is None or not total["a"] or not total["b"]:
+        return np.zeros(0, np.int64)
+    m, n = total["a"], total["b"]
+    part = lambda x, of: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) * (m + n) / ((F.col("a") + F.col("b")) * of))).otherwise(0.0)
+    typical = F.log((F.col("a") + 0.5) / (m + 1)) - F.log((F.col("b") + 0.5) / (n + 1)) >= toxicity.ratio
+    least = 2 * np.log(max(1, table.where("word is not null").count()))
+    found = table.where("word is not null").where(typical & (2 * (part("a", m) + part("b", n)) >= float(least))).select("word").toArrow()
+    return np.sort(found.column("word").to_numpy())
+
+
 def _scorer(spark: SparkSession, docs: DataFrame, labels: DataFrame, rules: Rules) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     ratio = spark.sparkContext.broadcast(weights(count_buckets(docs, trusted_ids(labels), rules), rules))
 
@@ -124,14 +190,20 @@ def score(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, score double, keep boolean")
 
 
-def accept(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+def accept(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), toxicity: Toxicity | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; with ``toxicity``, texts with a toxic word go too."""
     scores = _scorer(docs.sparkSession, docs, labels, rules)
+    shared = toxicity and docs.sparkSession.sparkContext.broadcast(toxic_words(docs, labels, toxicity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in kernel.slices(batch):
                 s, grams = scores(texts)
-                yield part.filter(pa.array((s >= rules.threshold) & (grams > 0)))
+                keep = (s >= rules.threshold) & (grams > 0)
+                if shared:
+                    words = kernel.Words(texts)
+                    hit = np.isin(kernel.finish(words.raw).view(np.int64), shared.value)
+                    keep[np.repeat(np.arange(len(texts)), words.counts())[hit]] = False
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

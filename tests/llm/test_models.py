@@ -163,6 +163,22 @@ def test_quality_rejects_junk_and_keeps_the_good(spark):
     assert share[1, 0] / total[1, 0] > 0.995 and share.get((0, 0), 0) / total[0, 0] < 0.05
 
 
+def test_toxic_documents_do_not_pass_the_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    count = lambda rows: {(r["quality"], r["toxic"]): r["count"] for r in rows.select("doc_id").join(labels, "doc_id").groupBy("quality", "toxic").count().collect()}
+    total, kept = count(docs), count(corpus_pipeline.quality_rules(spark, docs, d))
+    assert kept.get((1, 1), 0) / total[1, 1] < 0.05 and kept.get((0, 1), 0) / total[0, 1] < 0.05 and kept[1, 0] / total[1, 0] > 0.99
+
+
+def test_toxic_words_of_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 1), (7, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    assert quality.accept(odd, labels, toxicity=quality.Toxicity()).columns == odd.columns
+    assert quality.accept(empty, labels, toxicity=quality.Toxicity()).collect() == []
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (5, None, None), (7, 0, 1)], "doc_id long, quality int, toxic int")
     rows = quality.score(odd, labels).collect()
