@@ -7,7 +7,9 @@ meaning unknown.  A selection is a nullable boolean: SQL's AND is exactly the wa
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,22 +25,48 @@ class UnknownDecisionError(LookupError):
         self.index = index
 
 
+#: Keys of which the splits of :func:`number_rows` are taken; more only make the ranges more even.
+_SPLIT_SAMPLE = 20_000
+
+
+def _range_of(rows: DataFrame, order: list[str], parts: int) -> Column:
+    """Number of the range, of about ``parts`` even ones, that a row's key falls in.
+
+    The keys that part the ranges are literals, so the number depends on the row alone, however often and in whatever
+    partitions the rows are computed.  They are taken of a sample: any keys give right ranges, these give even ones.
+    """
+    keys = rows.select(F.struct(*order).alias("k"))
+    if (total := keys.count()) > _SPLIT_SAMPLE:
+        keys = keys.sample(fraction=_SPLIT_SAMPLE / total, seed=5)
+    ranked = keys.agg(F.sort_array(F.collect_set("k")).alias("k"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.try_element_at("k", (1 + F.floor(i * F.size("k") / parts)).cast("int")))
+    kind = ranked.schema["k"].dataType
+    told = ranked.select(F.to_json(at)).first()[0]
+    splits = F.array_distinct(F.sort_array(F.from_json(F.lit(told), kind)))  # what JSON can't hold makes another key, which does as well
+    step = max(1, math.isqrt(parts))
+    last = F.transform(F.sequence(F.lit(step), F.lit(step * step), F.lit(step)), lambda i: F.try_element_at(splits, i.cast("int")))
+    told = ranked.sparkSession.range(1).select(F.to_json(splits), F.to_json(F.filter(last, lambda x: x.isNotNull()))).first()
+    splits, last = (F.from_json(F.lit(x), kind) for x in told)
+    until = lambda x, k: F.size(F.filter(x, lambda s: s <= k))
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  (computes c once)
+    return bound(F.struct(*order), lambda k: bound(until(last, k), lambda w: w * step + until(F.slice(splits, w * step + 1, step), k)))
+
+
 def number_rows(rows: DataFrame, order: list[str], name: str = "sample_index") -> DataFrame:
-    """Dense numbers from 0 in ``order``, without one global window.
+    """Dense numbers from 0 in ``order`` (nulls first), without one global window; rows that tie in it are numbered in any order.
 
-    Rows are range-partitioned and sorted; each partition's count gives its offset; so only a count for each partition
-    reaches the driver.  The sorted rows are checkpoint-free: a range partitioning is deterministic for the same input.
+    Each row belongs to a range of keys (:func:`_range_of`); a count for each range, which is all that reaches the driver, gives
+    its offset, and the ranges are numbered on their own.  One shuffle of the rows, which must be the same each time they are computed.
     """
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    counts = sorted((r["__p"], r["count"]) for r in ordered.groupBy("__p").count().collect())
-    starts, total = {}, 0
-    for part, n in counts:
-        starts[part], total = total, total + n
-    if not starts:
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("__p", _range_of(rows, order, parts))
+    counts = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}
+    if not counts:
         return rows.withColumn(name, F.lit(0).cast("long"))
-    offsets = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
+    before = itertools.accumulate((counts.get(k, 0) for k in range(max(counts))), initial=0)
+    offsets = F.from_json(F.lit(json.dumps([*before])), "array<bigint>")
     within = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return ordered.withColumn(name, (F.element_at(offsets, F.col("__p")) + within).cast("long")).drop("__p")
+    return ranged.withColumn(name, (F.get(offsets, F.col("__p")) + within).cast("long")).drop("__p")
 
 
 def check_dense(rows: DataFrame, name: str = "sample_index") -> int:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import batching as B
@@ -252,3 +253,20 @@ def test_speakers(spark):
     assert len(K.grid_by(grid, "full", "codes").first()["cells"]) == 4 and K.grid_by(grid, "speaker", "codes").count() == 2
     with pytest.raises(ValueError):
         K.grid_axes(cells.where("sample_index > 0").withColumn("role", F.lit("source")), ["source"])
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_numbers_are_dense_beyond_the_sample(spark, aqe):
+    """Far more rows than splits are taken of, nulls and few distinct leading keys, computed several times."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    try:
+        rows = spark.range(3_000_000, numPartitions=23).select((F.xxhash64("id") % 1000).alias("a"), F.when(F.col("id") % 50 > 0, (F.col("id") % 977).cast("string")).alias("b"), "id")
+        out = U.number_rows(rows, ["a", "b", "id"])
+        assert U.check_dense(out) == 3_000_000
+        order = Window.partitionBy("a").orderBy("sample_index")
+        wrong = out.withColumn("before", F.lag(F.struct("b", "id")).over(order)).where(F.col("before") > F.struct("b", "id")).count()
+        edges = out.groupBy("a").agg(F.min("sample_index").alias("lo"), F.max("sample_index").alias("hi")).orderBy("a").collect()
+        assert wrong == 0 and all(x["hi"] + 1 == y["lo"] for x, y in zip(edges, edges[1:]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
