@@ -69,14 +69,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 #: Words as in kernel.fold_table.
 _JACCARD = r"""
-WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 grams AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS gram
     FROM words WHERE len(w) > 0),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, c / (x.n + y.n - c) AS jaccard
-FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.55
+sets AS (SELECT doc_id, md5(string_agg(gram, '|' ORDER BY gram)) AS f, count(*) AS n FROM grams GROUP BY doc_id),
+texts AS (SELECT f, min(doc_id) AS text_id, any_value(n) AS n, count(*) AS copies FROM sets GROUP BY f),
+own AS (SELECT text_id, n, gram FROM texts JOIN grams ON doc_id = text_id),
+shared AS (SELECT x.text_id AS a, y.text_id AS b, count(*) AS c, any_value(x.n) AS p, any_value(y.n) AS q FROM own x JOIN own y ON x.gram = y.gram AND x.text_id <> y.text_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE c / (p + q - c) >= 0.55),
+reach(x, y) AS (SELECT text_id, text_id FROM texts UNION SELECT x, b FROM reach JOIN links ON y = a),
+classes AS (SELECT x AS text_id, min(y) AS class_id FROM reach GROUP BY x),
+counts AS (SELECT a AS text_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(t.text_id, d.doc_id) AS text_id, coalesce(copies - 1, 0) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN texts t USING (f) LEFT JOIN classes c ON c.text_id = t.text_id LEFT JOIN counts k ON k.text_id = t.text_id WHERE d.doc_id IS NOT NULL
 """
 
 _CANONICAL = r"""

@@ -1,38 +1,43 @@
 """Jaccard self-join of documents on word n-grams with signature trees.
 
-Result: every pair of documents whose sets of word n-grams (``n`` consecutive words without case; a text of
-fewer words has one gram, of them all) have a Jaccard index of at least ``threshold``.
+Two texts are *linked* if their sets of word n-grams (``n`` consecutive words without case; a text of fewer words has one gram, of
+them all) differ and have a Jaccard index of at least ``threshold``.  Texts of equal sets are *copies*.  The result has one row for each
+document: its class (all that chains of links and copies reach), how many copies it has and to how many different texts it is linked.
+No link is lost: candidates come from an exact bound, not from sampling or hashing into bands.
 
 How it scales:
 
-1. One scan turns each document into a 128-bit fingerprint of its grams and ``bands`` MinHash keys.  Documents of equal
-   fingerprint are one *class*, of which only the smallest doc_id goes on.
-2. Keys that meet link classes into components (large-star / small-star, checkpointed); only documents of
-   components of at least two have their texts fetched again.
-3. Inside a component a **signature tree** is joined with itself.  A document's signature is a bitmap of its hashed grams; a node
-   holds the OR of its children's bitmaps, the range of their sizes and the largest collision slack (size minus bits).
-   A pair of nodes (A, B) can't hold a result if ``overlap = popcount(A & B) + slack`` of either side is below
-   ``threshold / (1 + threshold) * (min|A| + min|B|)``, or the size ranges are too far apart; the dual traversal drops it with
-   all beneath it.  Pairs of documents that are left are compared exactly.
-4. A component of more than ``block`` documents is cut into blocks, whose OR bitmaps and size ranges are the
-   upper nodes of its tree: block pairs are pruned the same way first, and only surviving ones are brought together.
-
-Two documents of Jaccard index J share a key with probability ``1 - (1 - J**rows)**bands``: 0.9993 at 0.55 with the
-defaults, and more through chains, as whole components are searched.  Nothing is capped.
-
-Defined results: null, empty and wordless texts have no gram and are in no pair; rows of one doc_id are one document,
-similar to another if any of its rows is, never to itself; rows of null doc_id are in no pair; ties don't arise, as all pairs
-are kept; empty tables give no pairs; other columns are ignored.
+1. One scan gives each document a 128-bit fingerprint of its set, the set's size and a signature (a bitmap of its hashed grams), and for
+   each run of documents the grams that many of them have.  Documents of equal fingerprint are copies; only one of them goes on.
+2. All sets are thought of in one order of grams, those that many documents have last.  Two sets that reach the threshold must share a
+   gram among the first ``size - ceil(threshold * size) + 1`` of each (if all of these differed, too few would be left to share).
+   A second scan sends these prefixes, packed, to the shards that own the grams; a shard finds the lists of texts that share a gram.
+   Lists of the same texts count once.
+3. Each list of up to ``most`` texts is a **signature tree**: nodes hold the OR of their children's bitmaps, the range of their sizes and
+   the largest collision slack (size minus bits).  A pair of nodes (A, B) can't hold a link if ``popcount(A & B) + slack`` of either
+   side is below ``threshold / (1 + threshold) * (min|A| + min|B|)`` or the size ranges are too far apart; the dual traversal drops it
+   with all beneath it.  What is left is joined into components (a spanning forest of each list travels, never its pairs).  A longer list
+   is not cut: all of its texts are put into one component.
+4. The sets of texts in components of at least two are fetched, and a component's tree is joined with itself, now with exact
+   comparison of what the bounds leave.  Components of more than ``block`` texts are cut into blocks by a hash, whose OR bitmaps and size ranges are the
+   upper nodes of the tree: block pairs are pruned the same way first, and only surviving ones are brought together.  Counts
+   of links and a spanning forest come out, so results grow with the documents even where links are quadratic in a group.
+
+Defined results: null, empty and wordless texts have no gram and are classes of their own, as are rows without a similar one; rows of
+null doc_id are left out; every other row gives a row, so rows of one doc_id are told apart by their texts alone; copies among rows of one doc_id count
+as copies; class_id and text_id are the smallest doc_id of the class and of the copies, so ties don't arise; very long texts are taken whole; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -42,73 +47,301 @@ from . import kernel
 class Join:
     n: int = 3
     threshold: float = 0.55
-    bands: int = 40
-    rows: int = 3
-    #: documents brought together at once; larger components are joined block pair by block pair.
+    #: texts brought together at once; larger components are joined block pair by block pair.
     block: int = 2048
-    leaf: int = 16
-    fanout: int = 8
+    leaf: int = 4
+    fanout: int = 4
+    #: bits of the signatures by which lists are pruned.
+    bits: int = 2048
+    #: texts of a list up to which its own tree decides who is linked.
+    most: int = 1024
+    #: a gram is put last in the order if one of so many documents of a run has it.
+    common: int = 512
+    #: words of a run, after which a task emits.
+    flush: int = 1 << 21
+    #: grams of prefixes that a shard holds at once, about.
+    shard: int = 1 << 22
 
+    def prefix(self, sizes: np.ndarray) -> np.ndarray:
+        return sizes - np.ceil(self.threshold * sizes - 1e-9).astype(np.int64) + 1
 
-# -- step 1: fingerprints and keys ---------------------------------------------------------------
 
+# -- step 1: fingerprints, signatures, common grams ----------------------------------------------
 
-def _signatures(docs: DataFrame, j: Join) -> DataFrame:
-    """(doc_id, f1, f2, keys) of every row with a gram."""
+
+def _sets_of(texts: list[str], j: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of each text, sorted, end to end, and their bounds."""
+    h, bounds = kernel.ngrams(kernel.Words(texts), j.n, short=True)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        h[lo:hi].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[bounds[:-1][bounds[:-1] < len(h)]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def _fingerprints(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.add.reduceat(h, at), np.add.reduceat(kernel.finish(h * np.uint64(0x2545F4914F6CDD1D)), at)
+
+
+_SCAN = "doc_id long, f1 long, f2 long, size long, map binary, gram long, often long"
+
+
+def _scan(docs: DataFrame, j: Join) -> DataFrame:
+    """Rows of documents (doc_id, f1, f2, size, map), of which those without a gram have size 0, and of common grams (gram, often)."""
+    names = ["doc_id", "f1", "f2", "size", "map"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(7)
-        factors = random.integers(1 << 31, 1 << 32, j.bands * j.rows, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        masks = random.integers(0, 1 << 32, j.bands * j.rows, dtype=np.uint64).astype(np.uint32)
+        held, words, many = [], 0, 0
         for batch in batches:
             for part, texts in kernel.slices(batch):
-                h, bounds = kernel.ngrams(kernel.Words(texts), j.n, short=True)
+                h, bounds = _sets_of(texts, j)
+                bare = part.column("doc_id").take(pa.array(np.flatnonzero(np.diff(bounds) == 0)))
+                zero = pa.array(np.zeros(len(bare), np.int64))
+                yield pa.record_batch([bare, *(pa.nulls(len(bare), pa.int64()) for _ in range(2)), zero, pa.nulls(len(bare), pa.binary()), *(pa.nulls(len(bare), pa.int64()) for _ in range(2))], names=[*names, "gram", "often"])
                 some = np.flatnonzero(np.diff(bounds))
                 if not len(some):
                     continue
-                at = bounds[some]
-                f1, f2 = np.add.reduceat(h, at), np.add.reduceat(kernel.finish(h * np.uint64(0x2545F4914F6CDD1D)), at)
-                low = (h >> np.uint64(16)).astype(np.uint32)
-                keys = np.empty((len(some), j.bands), np.uint64)
-                for b in range(j.bands):
-                    key = np.full(len(some), b + 1, np.uint64)
-                    for k in range(b * j.rows, (b + 1) * j.rows):
-                        key = kernel.finish(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((low ^ masks[k]) * factors[k], at))
-                    keys[:, b] = key
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * j.bands), pa.array(keys.view(np.int64).ravel()))
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(some)), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "keys": lists})
+                sizes = np.diff(bounds)[some]
+                f1, f2 = _fingerprints(h, bounds[some])
+                maps = _bitmaps((h & np.uint64(j.bits - 1)).astype(np.int64), np.repeat(np.arange(len(some)), sizes), len(some), j.bits)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(j.bits // 8), len(some), [None, pa.py_buffer(maps)]).cast(pa.binary())
+                nothing = pa.nulls(len(some), pa.int64())
+                yield pa.record_batch([part.column("doc_id").take(pa.array(some)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sizes), raw, nothing, nothing], names=[*names, "gram", "often"])
+                held.append(h)
+                words, many = words + len(h), many + len(some)
+                if words >= j.flush:
+                    yield common(held, many)
+                    held, words, many = [], 0, 0
+        if held:
+            yield common(held, many)
+
+    def common(held: list[np.ndarray], many: int) -> pa.RecordBatch:
+        grams, often = np.unique(np.concatenate(held), return_counts=True)
+        at = np.flatnonzero(often > max(1, many // j.common))
+        columns = [pa.nulls(len(at), pa.int64()) for _ in names[:-1]]
+        return pa.record_batch([*columns, pa.nulls(len(at), pa.binary()), pa.array(grams[at].view(np.int64)), pa.array(often[at])], names=[*names, "gram", "often"])
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCAN)
+
+
+def _common(scan: DataFrame, j: Join) -> np.ndarray:
+    """Common grams, most common last.  At most ``2 * common`` times the mean size of a set come to the driver: those of one in that many documents."""
+    n = scan.where("gram is null").count()
+    sums = scan.where("gram is not null").groupBy("gram").agg(F.sum("often").alias("often")).where(F.col("often") * 2 * j.common >= n).toArrow()
+    grams, often = sums.column("gram").to_numpy().view(np.uint64), sums.column("often").to_numpy()
+    return grams[np.lexsort((grams, often))]
+
+
+# -- step 2: lists of texts that share a gram of their prefixes ----------------------------------
+
+
+def _prefixes(docs: DataFrame, common: np.ndarray, shards: int, j: Join) -> DataFrame:
+    """(shard, grams, texts, sizes): packed prefixes of the distinct texts of a run; a gram is 32 bits below those that choose its shard."""
+    by = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[by], by))
+    bits = shards.bit_length() - 1
+
+    def first(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the prefix grams, and how many."""
+        known, rank = shared.value
+        sizes = np.diff(bounds)
+        need = np.where(sizes > 0, j.prefix(sizes), 0)
+        at = np.searchsorted(known, h)
+        late = known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+        early = np.concatenate([[0], np.cumsum(~late)])
+        place = early[:-1] - np.repeat(early[bounds[:-1]], sizes)
+        keep = ~late & (place < np.repeat(need, sizes))
+        lack = need - np.diff(early[bounds])
+        for i in np.flatnonzero(lack > 0).tolist():  # texts of common grams: the least common ones
+            some = bounds[i] + np.flatnonzero(late[bounds[i] : bounds[i + 1]])
+            keep[some[np.argsort(rank[at[some]])[: lack[i]]]] = True
+        return h[keep], need
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, need, text = (np.concatenate(x) for x in zip(*held))
+        bounds = np.concatenate([[0], np.cumsum(need)])
+        _, once = np.unique(text, return_index=True)  # copies of a run go once
+        of = np.repeat(np.arange(len(text)), need)
+        keep = np.zeros(len(text), bool)
+        keep[once] = True
+        h, of = h[keep[of]], of[keep[of]]
+        shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+        low = (h >> np.uint64(32 - bits)).astype(np.uint32)
+        order = np.argsort(shard * len(text) + of, kind="stable")
+        shard, of, low = shard[order], of[order], low[order]
+        out = []
+        edges = np.searchsorted(shard, np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[s], edges[s + 1]
+            owners, sizes = np.unique(of[a:b], return_counts=True)
+            out.append((s, low[a:b].tobytes(), text[owners].tobytes(), sizes.astype(np.uint32).tobytes()))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "grams", "texts", "sizes"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f1 long, f2 long, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = [], 0
+        for batch in batches:
+            for _, texts in kernel.slices(batch):
+                h, bounds = _sets_of(texts, j)
+                some = np.flatnonzero(np.diff(bounds))
+                if not len(some):
+                    continue
+                f1, _ = _fingerprints(h, bounds[some])
+                grams, need = first(h, bounds)
+                held.append((grams, need[some], f1))
+                words += len(h)
+                if words >= j.flush:
+                    yield packed(held)
+                    held, words = [], 0
+        if held:
+            yield packed(held)
+
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "shard long, grams binary, texts binary, sizes binary")
+
+
+def _lists(prefixes: DataFrame, j: Join) -> DataFrame:
+    """(list, a, b): the members ``a`` of each list of texts that share a gram; of lists beyond ``most`` (list null) each text and the least."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        grams, text = join("grams", np.uint32), np.repeat(join("texts", np.uint64), join("sizes", np.uint32))
+        order = np.argsort(grams, kind="stable")
+        grams, text = grams[order], text[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = grams[1:] != grams[:-1]
+        twice = ~new | np.concatenate([~new[1:], [False]])  # a gram that one entry alone has makes no list
+        grams, text = grams[twice], text[twice]
+        order = np.lexsort((text, grams))
+        grams, text = grams[order], text[order]
+        same = np.zeros(len(grams), bool)
+        same[1:] = (grams[1:] == grams[:-1]) & (text[1:] == text[:-1])
+        grams, text = grams[~same], text[~same]
+        at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+        many = np.diff(np.concatenate([at, [len(grams)]]))
+        at, many = at[many > 1], many[many > 1]
+        name = np.zeros(0, np.uint64)
+        if len(at):
+            keep = np.repeat(at, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            text = text[keep]
+            starts = np.cumsum(many) - many
+            name = kernel.finish(np.add.reduceat(kernel.finish(text), starts) + many.astype(np.uint64))
+            _, once = np.unique(name, return_index=True)  # lists of the same texts
+            at, many, name = starts[once], many[once], name[once]
+        member = np.repeat(at, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        long = np.repeat(many > j.most, many)
+        return pa.table({"list": pa.array(np.repeat(name, many).view(np.int64), mask=long), "a": text[member].view(np.int64), "b": pa.array(text[np.repeat(at, many)].view(np.int64), mask=~long)})
+
+    return prefixes.groupBy("shard").applyInArrow(run, "list long, a long, b long").distinct()
+
+
+# -- step 3: who of a list may be linked ---------------------------------------------------------
+
+
+def _may_link(sizes: np.ndarray, maps: np.ndarray, slack: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the bounds of a node pair allow a link."""
+    ok = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+    shared = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64)
+    return ok & (shared + np.minimum(slack[a], slack[b]) >= threshold / (1 + threshold) * (sizes[a] + sizes[b]) - 1e-9)
+
+
+def _list_edges(lists: DataFrame, j: Join) -> DataFrame:
+    """(a, b): a forest of each list's possible links; ``lists`` has (list, a, size, map), all of a list in one partition, in order."""
+
+    def edges(name: np.ndarray, text: np.ndarray, sizes: np.ndarray, maps: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        many = np.diff(np.concatenate([start, [len(name)]]))
+        pivot = np.repeat(start, many)
+        slack = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        one = np.arange(len(name))
+        ok = _may_link(sizes, maps, slack, one, pivot, j.threshold) | (one == pivot)
+        left, right = [one[ok & (one > pivot)]], [pivot[ok & (one > pivot)]]
+        for k in np.flatnonzero(np.add.reduceat(~ok, start) * (many > 2)).tolist():
+            all_ = np.arange(start[k], start[k] + many[k])
+            all_ = all_[np.argsort(sizes[all_], kind="stable")]
+            rest = all_[~ok[all_]]
+            x, y = (Tree.of(maps[i], sizes[i], slack[i], j.leaf, j.fanout) for i in (rest, all_))
+            pairs = [(rest[p], all_[q]) for p, q in x.join(y, j.threshold)]
+            if pairs:
+                p, q = (np.concatenate(z) for z in zip(*pairs))
+                lo, hi = _star(p, q)
+                left.append(hi)
+                right.append(lo)
+        p, q = np.concatenate(left), np.concatenate(right)
+        return pa.record_batch({"a": text[p], "b": text[q]})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            width = j.bits // 64
+            maps = np.frombuffer(b"".join(batch.column("map").to_pylist()), np.uint64).reshape(-1, width)
+            held.append((batch.column("list").to_numpy(), batch.column("a").to_numpy(), batch.column("size").to_numpy(), maps))
+            name, *rest = (np.concatenate(x) for x in zip(*held))
+            last = int(np.searchsorted(name, name[-1]))  # the last list may go on
+            if last:
+                yield edges(name[:last], *(x[:last] for x in rest))
+            held = [(name[last:], *(x[last:] for x in rest))]
+        if held:
+            yield edges(*(np.concatenate(x) for x in zip(*held)))
 
-# -- step 2: components --------------------------------------------------------------------------
+    return lists.select("list", "a", "size", "map").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component; edges has two integer columns a and b."""
+    """(node, root): the smallest node of each node's component; edges has two integer columns a and b.
+
+    Large-star and small-star; minima are aggregated before their shuffle, and joins on a hub's key are for AQE to split."""
     kernel.shared_checkpoints(edges.sparkSession)
-    by_u = Window.partitionBy("u")
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.withColumn("m", F.min("v").over(by_u))
-        now = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        now = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v", F.lit(1)).cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         state = seen
 
 
-# -- step 3: the tree ----------------------------------------------------------------------------
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, other): the nodes of the graph of edges a - b, each with the least of its component, but for these themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, low[x], least)
+        np.minimum.at(new, low[y], least)
+        new = new[new]
+        while not np.array_equal(jump := new[new], new):
+            new = jump
+        if np.array_equal(new, low):
+            break
+        low = new
+    other = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[low[other]], nodes[other]
+
+
+# -- the tree ------------------------------------------------------------------------------------
 
 
 def _bitmaps(tokens: np.ndarray, owner: np.ndarray, count: int, bits: int) -> np.ndarray:
     """uint64 count x bits/64; tokens are slots below bits."""
-    out = np.zeros((count, bits // 8), np.uint8)
-    np.bitwise_or.at(out, (owner, tokens >> 3), (np.uint8(1) << (tokens & 7).astype(np.uint8)))
-    return out.view(np.uint64)
+    out = np.zeros((count, bits // 64), np.uint64)
+    step = max(1, (1 << 25) // bits)
+    edges = np.searchsorted(owner, np.arange(0, count + step, step))
+    for k in range(0, count, step):
+        a, b = edges[k // step], edges[k // step + 1]
+        flags = np.zeros((min(step, count - k), bits), np.uint8)
+        flags[owner[a:b] - k, tokens[a:b]] = 1
+        out[k : k + step] = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+    return out
 
 
 class Tree:
@@ -118,8 +351,19 @@ class Tree:
         sizes = np.array([len(s) for s in sets], np.int64)
         slots = (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64)
         maps = _bitmaps(slots, np.repeat(np.arange(len(sets)), sizes), len(sets), bits)
-        slack = sizes - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
+        self._build(maps, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64), leaf, fanout)
+
+    @classmethod
+    def of(cls, maps: np.ndarray, sizes: np.ndarray, slack: np.ndarray, leaf: int, fanout: int) -> Tree:
+        """Of signatures that are there already."""
+        tree = cls.__new__(cls)
+        tree._build(maps, sizes, slack, leaf, fanout)
+        return tree
+
+    def _build(self, maps: np.ndarray, sizes: np.ndarray, slack: np.ndarray, leaf: int, fanout: int) -> None:
         self.levels, self.step = [(maps, sizes, sizes, slack)], []
+        self.seen: dict[int, int] = {}  # by level: pairs of nodes that were met, and that were not pruned
+        self.kept: dict[int, int] = {}
         while len(self.levels[-1][0]) > 1:
             maps, low, high, slack = self.levels[-1]
             step = fanout if self.step else leaf
@@ -147,9 +391,10 @@ class Tree:
             least = np.ceil(threshold / (1 + threshold) * (la[a] + lb[b]) - 1e-9)
             ok = (ha[a] >= threshold * lb[b] - 1e-9) & (hb[b] >= threshold * la[a] - 1e-9)
             a, b, least = a[ok], b[ok], least[ok]
-            shared = np.bitwise_count(ma[a] & mb[b]).sum(axis=1).astype(np.int64)
-            ok = shared + np.minimum(sa[a], sb[b]) >= least
-            a, b = a[ok], b[ok]
+            shared = np.bitwise_count(ma[a] & mb[b]).sum(axis=1, dtype=np.int64)
+            again = shared + np.minimum(sa[a], sb[b]) >= least
+            self.seen[level], self.kept[level] = self.seen.get(level, 0) + len(ok), self.kept.get(level, 0) + int(again.sum())
+            a, b = a[again], b[again]
             if not len(a):
                 continue
             if level == 0:
@@ -176,7 +421,7 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, j: Joi
     largest = max((len(s) for s in sets), default=0)
     if not largest or right == []:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    bits = 1 << int(np.clip(np.ceil(np.log2(4 * largest)), 9, 16))
+    bits = 1 << int(np.clip(np.ceil(np.log2(8 * largest)), 9, 16))
     tree = Tree(left, bits, j.leaf, j.fanout)
     other = tree if right is None else Tree(right, bits, j.leaf, j.fanout)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -200,81 +445,90 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, j: Joi
 
 # -- step 4: the whole join ----------------------------------------------------------------------
 
-_SET = "root long, doc_id long, spot long, grams binary"
+_SET = "root long, block long, f1 long, f2 long, grams binary"
 
 
-def _sets(docs: DataFrame, roots: DataFrame, j: Join) -> DataFrame:
-    """(root, doc_id, spot, grams): the sorted distinct grams of the documents in ``roots`` (node, root); spot orders like documents together."""
+def _sets(docs: DataFrame, chosen: DataFrame, j: Join) -> DataFrame:
+    """(root, block, f1, f2, grams): the sorted distinct grams of the texts in ``chosen`` (doc_id, root, block), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in kernel.slices(batch):
-                h, bounds = kernel.ngrams(kernel.Words(texts), j.n, short=True)
-                grams = [np.unique(h[bounds[i] : bounds[i + 1]]) for i in range(len(texts))]
-                spot = np.array([kernel.finish(g * np.uint64(0x9FB21C651E98DF25)).min() >> np.uint64(1) if len(g) else 0 for g in grams], np.int64)
-                yield pa.record_batch({"root": part.column("root"), "doc_id": part.column("doc_id"), "spot": spot, "grams": pa.array([g.tobytes() for g in grams], pa.binary())})
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
-    return rows.select("root", "doc_id", "text").mapInArrow(run, _SET).where("length(grams) > 0")
-
-
-def _forest(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Positions of edges that keep a's and b's components: a spanning forest."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
+                h, bounds = _sets_of(texts, j)
+                some = np.flatnonzero(np.diff(bounds))
+                if len(some):
+                    f1, f2 = _fingerprints(h, bounds[some])
+                    ok = f1.view(np.int64) == part.column("f1").to_numpy()[some]  # another row of the doc_id may have another text
+                    some, f1, f2 = some[ok], f1[ok], f2[ok]
+                    grams = pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary())
+                    yield pa.record_batch({**{c: part.column(c).take(pa.array(some)) for c in ("root", "block")}, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "grams": grams})
 
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        if (x := top(x)) != (y := top(y)):
-            parent[max(x, y)] = min(x, y)
-            keep.append(k)
-    return np.array(keep, np.int64)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("root", "block", "f1", "text")
+    return rows.mapInArrow(run, _SET).groupBy("root", "block", "f1", "f2").agg(F.first("grams").alias("grams"))
 
 
-def _pairs_in(ids: list[np.ndarray], sets: list[list[np.ndarray]], j: Join, forest: bool) -> pa.Table:
-    a, b, v = similar_pairs(sets[0], sets[1] if len(sets) > 1 else None, j)
+def _found(ids: list[np.ndarray], sets: list[list[np.ndarray]], j: Join) -> pa.Table:
+    """(a, b, links): how many links each text has among these (b null), and the least of its component among them (links null)."""
+    a, b, _ = similar_pairs(sets[0], sets[1] if len(sets) > 1 else None, j)
     a, b = ids[0][a], ids[-1][b]
-    apart = a != b
-    a, b, v = np.minimum(a, b)[apart], np.maximum(a, b)[apart], v[apart]
-    if forest:
-        k = _forest(a, b, v)
-        a, b, v = a[k], b[k], v[k]
-    return pa.table({"a": a, "b": b, "jaccard": v})
+    texts, links = np.unique(np.concatenate([a, b]), return_counts=True)
+    least, other = _star(a, b)
+    none = [pa.nulls(len(texts), pa.int64()), pa.nulls(len(least), pa.int64())]
+    return pa.table({"a": pa.chunked_array([texts, other]), "b": pa.chunked_array([none[0], pa.array(least)]), "links": pa.chunked_array([pa.array(links), none[1]])})
 
 
 def _of(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    rows = rows.sort_by([("spot", "ascending"), ("doc_id", "ascending")])
-    return rows.column("doc_id").to_numpy(), [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
-
-
-def _class_pairs(docs: DataFrame, j: Join, forest: bool) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of all documents with grams, and (a, b, jaccard) of similar representatives; ``forest``: only as many as connect them."""
-    kernel.shared_checkpoints(docs.sparkSession)
-    same = Window.partitionBy("f1", "f2")
-    classes = _signatures(docs, j).withColumn("rep", F.min("doc_id").over(same)).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")).checkpoint()
-    met = Window.partitionBy("key")
-    edges = classes.where("keys is not null").select("rep", F.explode("keys").alias("key")).withColumn("first", F.min("rep").over(met)).where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    sets = _sets(docs, components(edges), j)
-    order = Window.partitionBy("root").orderBy("spot", "doc_id")
-    size = F.count("*").over(Window.partitionBy("root"))
-    sets = sets.withColumn("blocks", F.ceil(size / j.block)).withColumn("block", F.when(F.col("blocks") > 1, F.floor((F.row_number().over(order) - 1) / j.block)).otherwise(0)).checkpoint()
+    """Texts by size, then by their least hash, which like ones have in common."""
+    ids, sets = rows.column("f1").to_numpy(), [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
+    spot = [int(kernel.finish(g * np.uint64(0x9FB21C651E98DF25)).min()) for g in sets]
+    order = sorted(range(len(sets)), key=lambda i: (spot[i], len(sets[i]), ids[i]))
+    return ids[order], [sets[i] for i in order]
+
+
+_LINKS = "a long, b long, links long"
+
+
+def _texts(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, f1, f2, text_id, n_copies) of all rows with grams; (f1, n_links) of linked texts; (a, b) edges that connect them; (doc_id) of the other rows."""
+    spark = docs.sparkSession
+    kernel.shared_checkpoints(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/jaccard-{uuid.uuid4().hex}"
+    _scan(docs, j).write.parquet(f"{base}/scan")
+    scan = spark.read.schema(_SCAN).parquet(f"{base}/scan")
+    rows, bare = scan.where("gram is null and size > 0"), scan.where("gram is null and size = 0").select("doc_id")
+    by = rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n"))
+    by.write.parquet(f"{base}/texts")
+    texts = spark.read.schema("f1 long, f2 long, text_id long, n long").parquet(f"{base}/texts")
+    grams = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = 8
+    while shards * j.shard < grams * (1 - j.threshold):
+        shards *= 2
+    _lists(_prefixes(docs, _common(scan, j), shards, j), j).write.parquet(f"{base}/lists")
+    lists = spark.read.schema("list long, a long, b long").parquet(f"{base}/lists")
+    maps = rows.join(texts.select("f1", "f2", F.col("text_id").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select(F.col("f1").alias("a"), "size", "map").dropDuplicates(["a"])
+    short = lists.where("list is not null").select("list", "a").join(maps, "a").repartition("list").sortWithinPartitions("list", "a")
+    possible = _list_edges(short, j).union(lists.where("list is null").select("a", "b"))
+    roots = components(possible).checkpoint()
+    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / j.block).alias("blocks"))
+    chosen = texts.join(roots.join(blocks, "root").withColumnRenamed("node", "f1"), "f1").select(F.col("text_id").alias("doc_id"), "root", F.expr("pmod(xxhash64(f1, f2), blocks)").alias("block"), "f1")
+    _sets(docs, chosen, j).write.parquet(f"{base}/sets")
+    sets = spark.read.schema(_SET).parquet(f"{base}/sets")
 
     def within(rows: pa.Table) -> pa.Table:
         ids, grams = _of(rows)
-        return _pairs_in([ids], [grams], j, forest)
+        return _found([ids], [grams], j)
 
-    found = sets.groupBy("root", "block").applyInArrow(within, "a long, b long, jaccard double")
-    if not sets.where("blocks > 1").isEmpty():
-        found = found.union(_across(sets.where("blocks > 1"), j, forest))
-    return classes.select("doc_id", "rep"), found
+    found = sets.groupBy("root", "block").applyInArrow(within, _LINKS)
+    if not blocks.where("blocks > 1").isEmpty():
+        found = found.union(_across(sets.join(blocks.where("blocks > 1").select("root"), "root", "left_semi"), j))
+    found = found.checkpoint()
+    links = found.where("b is null").groupBy(F.col("a").alias("f1")).agg(F.sum("links").alias("n_links"))
+    named = rows.select("doc_id", "f1", "f2").join(texts, ["f1", "f2"]).select("doc_id", "f1", "f2", "text_id", (F.col("n") - 1).alias("n_copies"))
+    return named, links, found.where("b is not null").select("a", "b"), bare
 
 
-def _across(sets: DataFrame, j: Join, forest: bool) -> DataFrame:
-    """Pairs of documents of different blocks: the upper levels of the components' trees."""
+def _across(sets: DataFrame, j: Join) -> DataFrame:
+    """What is found between texts of different blocks: the upper levels of the components' trees."""
     bits = 1 << 16
 
     def node(rows: pa.Table) -> pa.Table:
@@ -300,29 +554,24 @@ def _across(sets: DataFrame, j: Join, forest: bool) -> DataFrame:
         one = rows.column("one")[0].as_py()
         is_one = np.equal(rows.column("block").to_numpy(), one)
         (i1, g1), (i2, g2) = _of(rows.filter(pa.array(is_one))), _of(rows.filter(pa.array(~is_one)))
-        return _pairs_in([i1, i2], [g1, g2], j, forest)
+        return _found([i1, i2], [g1, g2], j)
 
-    return sent.select("root", "one", "two", "block", "doc_id", "spot", "grams").groupBy("root", "one", "two").applyInArrow(cross, "a long, b long, jaccard double")
+    return sent.select("root", "one", "two", "block", "f1", "grams").groupBy("root", "one", "two").applyInArrow(cross, _LINKS)
 
 
 def join(docs: DataFrame, j: Join = Join()) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: every similar pair once."""
-    classes, found = _class_pairs(docs, j, forest=False)
-    left, right = classes.select(F.col("doc_id").alias("x"), F.col("rep").alias("a")), classes.select(F.col("doc_id").alias("y"), F.col("rep").alias("b"))
-    across = found.join(left, "a").join(right, "b").select("x", "y", "jaccard")
-    inside = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    return across.union(inside).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def groups(docs: DataFrame, j: Join = Join()) -> DataFrame:
-    """(doc_id, group_id) of the documents that have a similar one: group_id is the smallest doc_id that chains of similar pairs reach."""
-    classes, found = _class_pairs(docs, j, forest=True)
-    edges = found.select("a", "b").union(classes.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    """(doc_id, class_id, text_id, n_copies, n_links) of every row with a doc_id."""
+    named, links, edges, bare = _texts(docs, j)
+    roots = components(edges).withColumnRenamed("node", "f1")
+    texts = named.select("f1", "text_id").distinct().join(roots, "f1", "left").withColumn("root", F.coalesce("root", "f1"))
+    least = texts.groupBy("root").agg(F.min("text_id").alias("class_id"))
+    of = texts.select("f1", "root").distinct().join(least, "root").join(links, "f1", "left").select("f1", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    zero = F.lit(0).cast("long")
+    return named.join(of, "f1").select("doc_id", "class_id", "text_id", "n_copies", "n_links").union(bare.select("doc_id", "doc_id", "doc_id", zero, zero))
 
 
 def keep_one(docs: DataFrame, j: Join = Join()) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest doc_id of each group, and without repeats of a doc_id (one of them stays); rows of null doc_id stay."""
-    gone = groups(docs, j).where("doc_id <> group_id").select("doc_id")
+    """The rows of ``docs`` without all but the smallest doc_id of each class, and without repeats of a doc_id (one of them stays); rows of null doc_id stay."""
+    gone = join(docs, j).where("doc_id <> class_id").select("doc_id").distinct()
     numbered = docs.where("doc_id is not null")
     return numbered.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
