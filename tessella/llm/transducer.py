@@ -6,13 +6,15 @@ text that some longer piece begins with, and for each of its positions that can
 count relative to now.  So there are finitely many states, however long the text; they are compiled when a text first
 needs them, into dense arrays that are walked by table look-up.
 
-Text is cut into chunks of ``chunk`` symbols, which are walked in lockstep.  Reading a space, or a character outside the vocabulary, leads to one state whatever came before: a chunk's state map is constant from its first such symbol
-on.  The maps are composed by a prefix scan: a constant map absorbs all to its left, so each chunk's opening symbols are
-walked from the end state of the nearest constant map before; chunks without such a symbol (a word longer than a chunk) pass
-their state on, round by round.
+Text is cut into chunks of ``chunk`` symbols, which are walked in lockstep.  A chunk is a map from the state before it to the state after it.  Reading a
+space, or a character outside the vocabulary, leads to one state whatever came before, so most chunks are constant maps.  Of the others (text without
+spaces) the maps are tabulated for the states that can reach them: the end state of a constant chunk on the left, or what the left chunk's own table leads
+to, and at first the start state, from which a walk falls into step with the true one after a few symbols.  Chunks of the same symbols share a table.  Once no table leads to a state that the next
+lacks, the tables are composed by pointer doubling, a prefix scan in a logarithmic number of steps, which gives each chunk its true state before it.
 
-Defined results: null and empty texts have 0 tokens; repeated rows are each counted; a null doc_id is an ordinary row; other
-columns are ignored; very long texts are cut like all others, none is skipped or shortened.
+Defined results: null and empty texts have 0 tokens; repeated rows are each counted; a null doc_id is an ordinary row; other columns are ignored,
+whatever their names; very long texts are cut like all others, none is skipped or shortened, with or without spaces; there are no ties (a text has one count);
+an empty table gives no rows.
 
 Plan: one narrow scan, no shuffle, two numbers out for each document.
 """
@@ -40,6 +42,14 @@ _UNUSED = -1
 _FIXED, _MARKS = 24, 5
 
 
+_LOW = 0xFFFFFFFF
+
+
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1 .. of each start, ``many`` of them."""
+    return np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
 class Machine:
     """The transducer of a vocabulary, compiled as far as it was walked."""
 
@@ -145,9 +155,9 @@ class Machine:
         symbols[other] = 1 + (codes[other] >= 0x80) + (codes[other] >= 0x800) + (codes[other] >= 0x10000)
         return symbols, bounds
 
-    def _walk(self, symbols: np.ndarray, states: np.ndarray, at: np.ndarray, stop: np.ndarray, gains: np.ndarray) -> np.ndarray:
-        """End states of the lanes, each from its state over symbols [at, stop); writes the annotations."""
-        end, lane = states.copy(), np.flatnonzero(at < stop)
+    def _walk(self, symbols: np.ndarray, states: np.ndarray, at: np.ndarray, stop: np.ndarray, gains: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """End states of the lanes, each from its state over symbols [at, stop), and the sums of the annotations, which are also written to ``gains``."""
+        end, lane, total = states.copy(), np.flatnonzero(at < stop), np.zeros(len(states), np.int64)
         states, at, stop = states[lane], at[lane], stop[lane]
         while len(lane):
             cells = states * np.int64(self.to.shape[1]) + symbols[at]
@@ -155,13 +165,57 @@ class Machine:
             if (miss := following < 0).any():
                 self._learn(cells[miss])
                 following = self.to.ravel()[cells]
-            gains[at] = self.gain.ravel()[cells]
+            gain = self.gain.ravel()[cells]
+            if gains is None:
+                total[lane] += gain
+            else:
+                gains[at] = gain
             states, at = following, at + 1
             if (over := at == stop).any():
                 end[lane[over]] = states[over]
                 on = ~over
                 lane, states, at, stop = lane[on], states[on], at[on], stop[on]
-        return end
+        return end, total
+
+    def _scan(self, symbols: np.ndarray, begin: np.ndarray, stop: np.ndarray, end: np.ndarray, gains: np.ndarray) -> None:
+        """End states and annotations of the chunks without an end state, whose maps depend on the state before them."""
+        open_ = np.flatnonzero(end < 0)
+        if not len(open_):
+            return
+        left = end[open_ - 1]  # a text's first symbol leads to one state, so there is a chunk on the left
+        padded = np.append(symbols, np.full(-len(symbols) % CHUNK, -1, symbols.dtype)).reshape(-1, CHUNK)[open_]
+        _, model, kind = np.unique(padded.view(f"V{padded.itemsize * CHUNK}").ravel(), return_index=True, return_inverse=True)  # like chunks share a table
+        follows = np.flatnonzero(np.diff(open_) == 1)
+        pairs = np.unique(kind[follows] << 32 | kind[follows + 1])
+        before, after = pairs >> 32, pairs & _LOW
+        need = np.unique(kind << 32 | np.where(left >= 0, left, self.start))
+        keys, exits, sums = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while len(need):
+            chunk = open_[model[need >> 32]]
+            to, total = self._walk(symbols, (need & _LOW).astype(np.int32), begin[chunk], stop[chunk], None)
+            to = to.astype(np.int64)
+            new = np.unique(need >> 32 << 32 | to)
+            keys, exits, sums = (np.concatenate(x) for x in ((keys, need), (exits, to), (sums, total)))
+            order = np.argsort(keys)
+            keys, exits, sums = keys[order], exits[order], sums[order]
+            lo, hi = np.searchsorted(before, new >> 32), np.searchsorted(before, new >> 32, side="right")
+            need = np.unique(after[_ranges(lo, hi - lo)] << 32 | np.repeat(new & _LOW, hi - lo))
+            need = need[keys[np.minimum(np.searchsorted(keys, need), len(keys) - 1)] != need]
+        # the table of each chunk, and where each of its entries is in that of the next
+        lo, hi = np.searchsorted(keys, kind << 32), np.searchsorted(keys, kind + 1 << 32)
+        at, chunk = _ranges(lo, hi - lo), np.repeat(open_, hi - lo)
+        exits, sums, keys = exits[at], sums[at], chunk << 32 | keys[at] & _LOW
+        onward = np.minimum(np.searchsorted(keys, chunk + 1 << 32 | exits), len(keys) - 1)
+        onward = np.where(np.append(end < 0, False)[chunk + 1], onward, np.arange(len(keys)))
+        heads = np.flatnonzero(left >= 0)
+        size = np.diff(np.append(heads, len(open_)))
+        place = np.repeat(np.searchsorted(keys, open_[heads] << 32 | left[heads]), size)
+        steps = np.arange(len(open_)) - np.repeat(heads, size)
+        while steps.any():
+            place = np.where(steps & 1, onward[place], place)
+            onward, steps = onward[onward], steps >> 1
+        end[open_] = exits[place]
+        gains[begin[open_]] = sums[place]
 
     def count(self, texts: list[str]) -> np.ndarray:
         if self.to.size > TABLE_CELLS:
@@ -179,14 +233,11 @@ class Machine:
         constant = first < stop
         start = np.full(len(begin), self.start, np.int32)
         # the constant part of each chunk's map
-        end = np.where(constant, self._walk(symbols, start, first, stop, gains), -1).astype(np.int32)
-        # prefix scan: what comes before it, from the end state of the chunk to the left
-        todo = np.flatnonzero(first > begin)
-        while len(todo):
-            ready = todo[end[todo - 1] >= 0]
-            ends = self._walk(symbols, end[ready - 1], begin[ready], first[ready], gains)
-            end[ready] = np.where(constant[ready], end[ready], ends)
-            todo = np.setdiff1d(todo, ready, assume_unique=True)
+        end = np.where(constant, self._walk(symbols, start, first, stop, gains)[0], -1).astype(np.int32)
+        self._scan(symbols, begin, stop, end, gains)
+        # what comes before the constant part, from the end state of the chunk to the left
+        todo = np.flatnonzero(constant & (first > begin))
+        self._walk(symbols, end[todo - 1], begin[todo], first[todo], gains)
         some = np.flatnonzero(np.diff(bounds))
         out[some] = np.add.reduceat(gains, bounds[some])
         return out
