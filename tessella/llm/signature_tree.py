@@ -3,26 +3,26 @@
 Two texts are *linked* if their sets of word n-grams (``n`` consecutive words without case; a text of fewer words has one gram, of
 them all) differ and have a Jaccard index of at least ``threshold``.  Texts of equal sets are *copies*.  The result has one row for each
 document: its class (all that chains of links and copies reach), how many copies it has and to how many different texts it is linked.
-No link is lost: candidates come from an exact bound, not from sampling or hashing into bands.
 
 How it scales:
 
-1. One scan gives each document a 128-bit fingerprint of its set, the set's size and a signature (a bitmap of its hashed grams), and for
-   each run of documents the grams that many of them have.  Documents of equal fingerprint are copies; only one of them goes on.
-2. All sets are thought of in one order of grams, those that many documents have last.  Two sets that reach the threshold must share a
-   gram among the first ``size - ceil(threshold * size) + 1`` of each (if all of these differed, too few would be left to share).
-   A second scan sends these prefixes, packed, to the shards that own the grams; a shard finds the lists of texts that share a gram.
-   Lists of the same texts count once.
-3. Each list of up to ``most`` texts is a **signature tree**: nodes hold the OR of their children's bitmaps, the range of their sizes and
+1. One scan gives each document a 128-bit fingerprint of its set, the set's size, a signature (a bitmap of its hashed grams) and ``bands`` MinHash keys.
+   Documents of equal fingerprint are copies; only one of them goes on.  Keys travel packed, by run of documents, to the shards that own
+   them; a shard finds the lists of texts that share a key.  Lists of the same texts count once.
+2. Each list of up to ``most`` texts is a **signature tree**: nodes hold the OR of their children's bitmaps, the range of their sizes and
    the largest collision slack (size minus bits).  A pair of nodes (A, B) can't hold a link if ``popcount(A & B) + slack`` of either
    side is below ``threshold / (1 + threshold) * (min|A| + min|B|)`` or the size ranges are too far apart; the dual traversal drops it
-   with all beneath it.  What is left is joined into components (a spanning forest of each list travels, never its pairs).  A longer list
-   is not cut: all of its texts are put into one component.
-4. The sets of texts in components of at least two are fetched, and a component's tree is joined with itself, now with exact
+   with all beneath it.  What is left is joined into components (a spanning forest of each list travels, never its pairs), so that texts that
+   only share a passage don't chain others.  A longer list is not cut: all of its texts are put into one component.
+3. The sets of texts in components of at least two are fetched, and a component's tree is joined with itself, now with exact
    comparison of what the bounds leave.  Components of more than ``block`` texts are cut into blocks by a hash, whose OR bitmaps and size ranges are the
    upper nodes of the tree: block pairs are pruned the same way first, and only surviving ones are brought together.  Counts
    of links and a spanning forest come out, so results grow with the documents even where links are quadratic in a group.
 
+Two texts of Jaccard index J share a key with probability ``1 - (1 - J**rows)**bands``: 0.99998 at 0.55 with the defaults, more above, and more
+through others of their component, as whole components are searched.  Signatures alone can't route texts: nodes of many unlike texts have
+full bitmaps, so all pairs of nodes of a corpus would be met.  (An exact route, by the rarest grams of each set, was measured and left: see the README.)
+
 Defined results: null, empty and wordless texts have no gram and are classes of their own, as are rows without a similar one; rows of
 null doc_id are left out; every other row gives a row, so rows of one doc_id are told apart by their texts alone; copies among rows of one doc_id count
 as copies; class_id and text_id are the smallest doc_id of the class and of the copies, so ties don't arise; very long texts are taken whole; an empty table gives no
@@ -51,22 +51,25 @@ class Join:
     block: int = 2048
     leaf: int = 4
     fanout: int = 4
+    bands: int = 60
+    rows: int = 3
     #: bits of the signatures by which lists are pruned.
     bits: int = 2048
-    #: texts of a list up to which its own tree decides who is linked.
+    #: texts of a list up to which its own tree decides who is linked; of these, up to which all are compared at once.
     most: int = 1024
-    #: a gram is put last in the order if one of so many documents of a run has it.
-    common: int = 512
-    #: words of a run, after which a task emits.
+    few: int = 24
+    #: words of a run, after which a task emits its keys.
     flush: int = 1 << 21
-    #: grams of prefixes that a shard holds at once, about.
+    #: keys that a shard holds at once, about.
     shard: int = 1 << 22
 
-    def prefix(self, sizes: np.ndarray) -> np.ndarray:
-        return sizes - np.ceil(self.threshold * sizes - 1e-9).astype(np.int64) + 1
+
+# -- step 1: fingerprints, signatures, keys ------------------------------------------------------
 
 
-# -- step 1: fingerprints, signatures, common grams ----------------------------------------------
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1 .. of each start, ``many`` of them."""
+    return np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
 def _sets_of(texts: list[str], j: Join) -> tuple[np.ndarray, np.ndarray]:
@@ -84,111 +87,59 @@ def _fingerprints(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.add.reduceat(h, at), np.add.reduceat(kernel.finish(h * np.uint64(0x2545F4914F6CDD1D)), at)
 
 
-_SCAN = "doc_id long, f1 long, f2 long, size long, map binary, gram long, often long"
-
-
-def _scan(docs: DataFrame, j: Join) -> DataFrame:
-    """Rows of documents (doc_id, f1, f2, size, map), of which those without a gram have size 0, and of common grams (gram, often)."""
-    names = ["doc_id", "f1", "f2", "size", "map"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words, many = [], 0, 0
-        for batch in batches:
-            for part, texts in kernel.slices(batch):
-                h, bounds = _sets_of(texts, j)
-                bare = part.column("doc_id").take(pa.array(np.flatnonzero(np.diff(bounds) == 0)))
-                zero = pa.array(np.zeros(len(bare), np.int64))
-                yield pa.record_batch([bare, *(pa.nulls(len(bare), pa.int64()) for _ in range(2)), zero, pa.nulls(len(bare), pa.binary()), *(pa.nulls(len(bare), pa.int64()) for _ in range(2))], names=[*names, "gram", "often"])
-                some = np.flatnonzero(np.diff(bounds))
-                if not len(some):
-                    continue
-                sizes = np.diff(bounds)[some]
-                f1, f2 = _fingerprints(h, bounds[some])
-                maps = _bitmaps((h & np.uint64(j.bits - 1)).astype(np.int64), np.repeat(np.arange(len(some)), sizes), len(some), j.bits)
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(j.bits // 8), len(some), [None, pa.py_buffer(maps)]).cast(pa.binary())
-                nothing = pa.nulls(len(some), pa.int64())
-                yield pa.record_batch([part.column("doc_id").take(pa.array(some)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sizes), raw, nothing, nothing], names=[*names, "gram", "often"])
-                held.append(h)
-                words, many = words + len(h), many + len(some)
-                if words >= j.flush:
-                    yield common(held, many)
-                    held, words, many = [], 0, 0
-        if held:
-            yield common(held, many)
-
-    def common(held: list[np.ndarray], many: int) -> pa.RecordBatch:
-        grams, often = np.unique(np.concatenate(held), return_counts=True)
-        at = np.flatnonzero(often > max(1, many // j.common))
-        columns = [pa.nulls(len(at), pa.int64()) for _ in names[:-1]]
-        return pa.record_batch([*columns, pa.nulls(len(at), pa.binary()), pa.array(grams[at].view(np.int64)), pa.array(often[at])], names=[*names, "gram", "often"])
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCAN)
-
-
-def _common(scan: DataFrame, j: Join) -> np.ndarray:
-    """Common grams, most common last.  At most ``2 * common`` times the mean size of a set come to the driver: those of one in that many documents."""
-    n = scan.where("gram is null").count()
-    sums = scan.where("gram is not null").groupBy("gram").agg(F.sum("often").alias("often")).where(F.col("often") * 2 * j.common >= n).toArrow()
-    grams, often = sums.column("gram").to_numpy().view(np.uint64), sums.column("often").to_numpy()
-    return grams[np.lexsort((grams, often))]
+_SCAN = "doc_id long, f1 long, f2 long, size long, map binary, shard long, keys binary, texts binary, sizes binary"
+_FIELDS = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int64()), ("map", pa.binary()), ("shard", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary())])
 
 
-# -- step 2: lists of texts that share a gram of their prefixes ----------------------------------
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.record_batch([columns.get(f.name, pa.nulls(n, f.type)) for f in _FIELDS], schema=_FIELDS)
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, shards: int, j: Join) -> DataFrame:
-    """(shard, grams, texts, sizes): packed prefixes of the distinct texts of a run; a gram is 32 bits below those that choose its shard."""
-    by = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[by], by))
+def _scan(docs: DataFrame, shards: int, j: Join) -> DataFrame:
+    """Rows of documents (doc_id, f1, f2, size, map), of which those without a gram have size 0, and packed keys of the distinct texts of a
+    run (shard, keys, texts, sizes); a key is 32 bits below those that choose its shard."""
     bits = shards.bit_length() - 1
 
-    def first(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text the prefix grams, and how many."""
-        known, rank = shared.value
-        sizes = np.diff(bounds)
-        need = np.where(sizes > 0, j.prefix(sizes), 0)
-        at = np.searchsorted(known, h)
-        late = known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-        early = np.concatenate([[0], np.cumsum(~late)])
-        place = early[:-1] - np.repeat(early[bounds[:-1]], sizes)
-        keep = ~late & (place < np.repeat(need, sizes))
-        lack = need - np.diff(early[bounds])
-        for i in np.flatnonzero(lack > 0).tolist():  # texts of common grams: the least common ones
-            some = bounds[i] + np.flatnonzero(late[bounds[i] : bounds[i + 1]])
-            keep[some[np.argsort(rank[at[some]])[: lack[i]]]] = True
-        return h[keep], need
-
-    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, need, text = (np.concatenate(x) for x in zip(*held))
-        bounds = np.concatenate([[0], np.cumsum(need)])
-        _, once = np.unique(text, return_index=True)  # copies of a run go once
-        of = np.repeat(np.arange(len(text)), need)
-        keep = np.zeros(len(text), bool)
-        keep[once] = True
-        h, of = h[keep[of]], of[keep[of]]
-        shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-        low = (h >> np.uint64(32 - bits)).astype(np.uint32)
-        order = np.argsort(shard * len(text) + of, kind="stable")
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        text, keys = (np.concatenate(x) for x in zip(*held))
+        text, once = np.unique(text, return_index=True)  # copies of a run go once
+        keys, of = keys[once].ravel(), np.repeat(np.arange(len(text)), j.bands)
+        shard, low = (keys >> np.uint64(64 - bits)).astype(np.int64), (keys >> np.uint64(32 - bits)).astype(np.uint32)
+        order = np.argsort(shard, kind="stable")
         shard, of, low = shard[order], of[order], low[order]
-        out = []
-        edges = np.searchsorted(shard, np.arange(shards + 1))
+        out, edges = [], np.searchsorted(shard, np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[s], edges[s + 1]
-            owners, sizes = np.unique(of[a:b], return_counts=True)
-            out.append((s, low[a:b].tobytes(), text[owners].tobytes(), sizes.astype(np.uint32).tobytes()))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "grams", "texts", "sizes"])
+            owners, sizes = np.unique(of[edges[s] : edges[s + 1]], return_counts=True)
+            out.append((s, low[edges[s] : edges[s + 1]].tobytes(), text[owners].tobytes(), sizes.astype(np.uint32).tobytes()))
+        return _rows(**{n: pa.array(c, _FIELDS.field(n).type) for n, c in zip(("shard", "keys", "texts", "sizes"), zip(*out))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng(7)
+        factors = random.integers(1 << 31, 1 << 32, j.bands * j.rows, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        masks = random.integers(0, 1 << 32, j.bands * j.rows, dtype=np.uint64).astype(np.uint32)
         held, words = [], 0
         for batch in batches:
-            for _, texts in kernel.slices(batch):
+            for part, texts in kernel.slices(batch):
                 h, bounds = _sets_of(texts, j)
-                some = np.flatnonzero(np.diff(bounds))
+                sizes, ids = np.diff(bounds), part.column("doc_id")
+                bare = ids.take(pa.array(np.flatnonzero(sizes == 0)))
+                yield _rows(doc_id=bare, size=pa.array(np.zeros(len(bare), np.int64)))
+                some = np.flatnonzero(sizes)
                 if not len(some):
                     continue
-                f1, _ = _fingerprints(h, bounds[some])
-                grams, need = first(h, bounds)
-                held.append((grams, need[some], f1))
+                at, sizes = bounds[some], sizes[some]
+                f1, f2 = _fingerprints(h, at)
+                maps = _bitmaps((h & np.uint64(j.bits - 1)).astype(np.int64), np.repeat(np.arange(len(some)), sizes), len(some), j.bits)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(j.bits // 8), len(some), [None, pa.py_buffer(maps)]).cast(pa.binary())
+                yield _rows(doc_id=ids.take(pa.array(some)), f1=pa.array(f1.view(np.int64)), f2=pa.array(f2.view(np.int64)), size=pa.array(sizes), map=raw)
+                low, keys = (h >> np.uint64(16)).astype(np.uint32), np.empty((len(some), j.bands), np.uint64)
+                for b in range(j.bands):
+                    key = np.full(len(some), b + 1, np.uint64)
+                    for k in range(b * j.rows, (b + 1) * j.rows):
+                        key = kernel.finish(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((low ^ masks[k]) * factors[k], at))
+                    keys[:, b] = key
+                held.append((f1, keys))
                 words += len(h)
                 if words >= j.flush:
                     yield packed(held)
@@ -196,45 +147,44 @@ def _prefixes(docs: DataFrame, common: np.ndarray, shards: int, j: Join) -> Data
         if held:
             yield packed(held)
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "shard long, grams binary, texts binary, sizes binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCAN)
 
 
-def _lists(prefixes: DataFrame, j: Join) -> DataFrame:
-    """(list, a, b): the members ``a`` of each list of texts that share a gram; of lists beyond ``most`` (list null) each text and the least."""
+def _lists(packed: DataFrame, j: Join) -> DataFrame:
+    """(list, a, b): the members ``a`` of each list of texts that share a key; of lists beyond ``most`` (list null) each text and the least."""
 
     def run(rows: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
-        grams, text = join("grams", np.uint32), np.repeat(join("texts", np.uint64), join("sizes", np.uint32))
-        order = np.argsort(grams, kind="stable")
-        grams, text = grams[order], text[order]
-        new = np.ones(len(grams), bool)
-        new[1:] = grams[1:] != grams[:-1]
-        twice = ~new | np.concatenate([~new[1:], [False]])  # a gram that one entry alone has makes no list
-        grams, text = grams[twice], text[twice]
-        order = np.lexsort((text, grams))
-        grams, text = grams[order], text[order]
-        same = np.zeros(len(grams), bool)
-        same[1:] = (grams[1:] == grams[:-1]) & (text[1:] == text[:-1])
-        grams, text = grams[~same], text[~same]
-        at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-        many = np.diff(np.concatenate([at, [len(grams)]]))
+        keys, text = join("keys", np.uint32), np.repeat(join("texts", np.uint64), join("sizes", np.uint32))
+        order = np.argsort(keys, kind="stable")
+        keys, text = keys[order], text[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        twice = ~new | np.concatenate([~new[1:], [False]])  # a key that one entry alone has makes no list
+        keys, text = keys[twice], text[twice]
+        order = np.lexsort((text, keys))
+        keys, text = keys[order], text[order]
+        same = np.zeros(len(keys), bool)
+        same[1:] = (keys[1:] == keys[:-1]) & (text[1:] == text[:-1])
+        keys, text = keys[~same], text[~same]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        many = np.diff(np.concatenate([at, [len(keys)]]))
         at, many = at[many > 1], many[many > 1]
         name = np.zeros(0, np.uint64)
         if len(at):
-            keep = np.repeat(at, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            text = text[keep]
+            text = text[_ranges(at, many)]
             starts = np.cumsum(many) - many
             name = kernel.finish(np.add.reduceat(kernel.finish(text), starts) + many.astype(np.uint64))
             _, once = np.unique(name, return_index=True)  # lists of the same texts
             at, many, name = starts[once], many[once], name[once]
-        member = np.repeat(at, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        member = _ranges(at, many)
         long = np.repeat(many > j.most, many)
         return pa.table({"list": pa.array(np.repeat(name, many).view(np.int64), mask=long), "a": text[member].view(np.int64), "b": pa.array(text[np.repeat(at, many)].view(np.int64), mask=~long)})
 
-    return prefixes.groupBy("shard").applyInArrow(run, "list long, a long, b long").distinct()
+    return packed.groupBy("shard").applyInArrow(run, "list long, a long, b long").distinct()
 
 
-# -- step 3: who of a list may be linked ---------------------------------------------------------
+# -- step 2: who of a list may be linked ---------------------------------------------------------
 
 
 def _may_link(sizes: np.ndarray, maps: np.ndarray, slack: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -255,7 +205,18 @@ def _list_edges(lists: DataFrame, j: Join) -> DataFrame:
         one = np.arange(len(name))
         ok = _may_link(sizes, maps, slack, one, pivot, j.threshold) | (one == pivot)
         left, right = [one[ok & (one > pivot)]], [pivot[ok & (one > pivot)]]
-        for k in np.flatnonzero(np.add.reduceat(~ok, start) * (many > 2)).tolist():
+        open_ = np.flatnonzero(np.add.reduceat(~ok, start) * (many > 2))
+        small = open_[many[open_] <= j.few]
+        member = _ranges(start[small], many[small])
+        ahead = np.repeat(start[small] + many[small], many[small]) - member - 1
+        x, y = np.repeat(member, ahead), _ranges(member + 1, ahead)
+        step = (1 << 22) // j.bits
+        for k in range(0, len(x), step):
+            p, q = x[k : k + step], y[k : k + step]
+            fits = _may_link(sizes, maps, slack, p, q, j.threshold)
+            left.append(q[fits])
+            right.append(p[fits])
+        for k in open_[many[open_] > j.few].tolist():
             all_ = np.arange(start[k], start[k] + many[k])
             all_ = all_[np.argsort(sizes[all_], kind="stable")]
             rest = all_[~ok[all_]]
@@ -263,11 +224,10 @@ def _list_edges(lists: DataFrame, j: Join) -> DataFrame:
             pairs = [(rest[p], all_[q]) for p, q in x.join(y, j.threshold)]
             if pairs:
                 p, q = (np.concatenate(z) for z in zip(*pairs))
-                lo, hi = _star(p, q)
-                left.append(hi)
-                right.append(lo)
-        p, q = np.concatenate(left), np.concatenate(right)
-        return pa.record_batch({"a": text[p], "b": text[q]})
+                left.append(p)
+                right.append(q)
+        least, other = _star(text[np.concatenate(left)], text[np.concatenate(right)])
+        return pa.record_batch({"a": other, "b": least})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -443,7 +403,7 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, j: Joi
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, float)))
 
 
-# -- step 4: the whole join ----------------------------------------------------------------------
+# -- step 3: the whole join ----------------------------------------------------------------------
 
 _SET = "root long, block long, f1 long, f2 long, grams binary"
 
@@ -493,20 +453,21 @@ def _texts(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, DataFrame, D
     spark = docs.sparkSession
     kernel.shared_checkpoints(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/jaccard-{uuid.uuid4().hex}"
-    _scan(docs, j).write.parquet(f"{base}/scan")
+    n, shards = docs.count(), 8
+    while shards * j.shard < n * j.bands:
+        shards *= 2
+    _scan(docs, shards, j).write.parquet(f"{base}/scan")
     scan = spark.read.schema(_SCAN).parquet(f"{base}/scan")
-    rows, bare = scan.where("gram is null and size > 0"), scan.where("gram is null and size = 0").select("doc_id")
+    rows, bare = scan.where("size > 0"), scan.where("size = 0").select("doc_id")
     by = rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n"))
     by.write.parquet(f"{base}/texts")
     texts = spark.read.schema("f1 long, f2 long, text_id long, n long").parquet(f"{base}/texts")
-    grams = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shards = 8
-    while shards * j.shard < grams * (1 - j.threshold):
-        shards *= 2
-    _lists(_prefixes(docs, _common(scan, j), shards, j), j).write.parquet(f"{base}/lists")
+    _lists(scan.where("shard is not null").select("shard", "keys", "texts", "sizes"), j).write.parquet(f"{base}/lists")
     lists = spark.read.schema("list long, a long, b long").parquet(f"{base}/lists")
-    maps = rows.join(texts.select("f1", "f2", F.col("text_id").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select(F.col("f1").alias("a"), "size", "map").dropDuplicates(["a"])
-    short = lists.where("list is not null").select("list", "a").join(maps, "a").repartition("list").sortWithinPartitions("list", "a")
+    short = lists.where("list is not null").select("list", "a")
+    one = short.select(F.col("a").alias("f1")).distinct().join(texts, "f1").select("f1", "f2", F.col("text_id").alias("doc_id"))
+    maps = rows.join(one, ["f1", "f2", "doc_id"], "left_semi").select(F.col("f1").alias("a"), "size", "map").dropDuplicates(["a"])
+    short = short.join(maps, "a").repartition("list").sortWithinPartitions("list", "a")
     possible = _list_edges(short, j).union(lists.where("list is null").select("a", "b"))
     roots = components(possible).checkpoint()
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / j.block).alias("blocks"))

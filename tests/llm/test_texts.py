@@ -68,11 +68,11 @@ def near_copies(seed, groups=12, most=30):
     return rows
 
 
-@pytest.mark.parametrize("block, most, common", [(2048, 1024, 512), (7, 1024, 4), (2048, 3, 10**9)])
-def test_join_equals_brute_force(spark, block, most, common):
+@pytest.mark.parametrize("block, most, few", [(2048, 1024, 24), (7, 1024, 3), (2048, 3, 3)])
+def test_join_equals_brute_force(spark, block, most, few):
     rows = near_copies(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    j = S.Join(block=block, most=most, common=common, leaf=3, fanout=2, shard=100, flush=2000)
+    j = S.Join(block=block, most=most, few=few, leaf=3, fanout=2, shard=100, flush=2000)
     want = plain_join(rows)
     assert joined(docs, j) == want and sum(r[4] for r in want) > 500
     assert {r["doc_id"] for r in S.keep_one(docs, j).collect()} == {r[0] for r in want if r[0] == r[1]}
@@ -160,12 +160,11 @@ def test_suffix_array_of_long_repeats():
     assert sorted(order.tolist()) == list(range(len(text))) and all(text[a:] < text[b:] for a, b in zip(order[::97], order[97::97]))
 
 
-def plain_spans(rows, bench, n=8, least=5):
+def plain_spans(rows, bench, n=8):
     phrases = defaultdict(set)
     for item, text in bench:
         w = words(text)
-        if len(w) >= least:
-            m = min(n, len(w))
+        if m := min(n, len(w)):
             for k in range(len(w) - m + 1):
                 phrases[tuple(w[k : k + m])].add(item)
     sizes = {len(p) for p in phrases}
@@ -197,13 +196,13 @@ def test_spans_equal_brute_force(spark):
 
 
 def test_decontamination_odd_rows(spark, odd, empty):
-    bench = spark.createDataFrame([(1, "quick BROWN fox, jumps over the lazy"), (1, "quick BROWN fox, jumps over the lazy"), (2, None), (3, "too short"), (None, "lorem ipsum dolor sit amet lorem ipsum dolor sit"), (4, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "quick BROWN fox, jumps over the lazy"), (1, "quick BROWN fox, jumps over the lazy"), (2, None), (3, "the lazy dog"), (5, "QUICK brown"), (None, "lorem ipsum dolor sit amet lorem ipsum dolor sit"), (4, "")], "item_id long, text string")
     got = D.spans(odd, bench).collect()
     assert sorted(r["doc_id"] for r in got) == [1, 1, 5]
-    assert {r["clean_text"] for r in got if r["doc_id"] == 1} == {"the  dog"} and [r for r in got if r["doc_id"] == 5][0]["n_removed"] > 100_000
+    assert {r["clean_text"] for r in got if r["doc_id"] == 1} == {"the "} and {tuple(r["item_ids"]) for r in got if r["doc_id"] == 1} == {(1, 3, 5)} and [r for r in got if r["doc_id"] == 5][0]["n_removed"] > 100_000
     cleaned = D.clean(odd, bench)
     assert cleaned.columns == odd.columns and cleaned.count() == odd.count()
-    left = D.clean(odd, spark.createDataFrame([(1, "one")], "item_id long, text string"), D.Search(least=1))
+    left = D.clean(odd, spark.createDataFrame([(1, "one")], "item_id long, text string"))
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 1, 2, 3, 4, 5, 6, 7, 9, 10]  # of document 8 no word is left
     assert D.spans(empty, bench).collect() == [] and D.spans(odd, bench.limit(0)).collect() == []
 
@@ -260,6 +259,19 @@ def test_counts_are_the_librarys(library, vocabulary, monkeypatch):
         assert T.Machine(vocabulary).count(texts).tolist() == [len(x) for x in library.encode(texts)]
 
 
+@pytest.mark.parametrize("chunk", [256, 7])
+def test_text_without_spaces_takes_few_rounds(library, vocabulary, monkeypatch, chunk):
+    """Chunk maps are tabulated in as many rounds as there are states to reach, not as there are chunks."""
+    monkeypatch.setattr(T, "CHUNK", chunk)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(9000)), "a" * 9001, "abc" * 3000, "x " + "日本" * 900 + "q" * 5000, "no", "ab" * 4000 + " " + "ba" * 3000]
+    machine, rounds = T.Machine(vocabulary), []
+    walk = machine._walk
+    monkeypatch.setattr(machine, "_walk", lambda *x: (rounds.append(1), walk(*x))[1])
+    assert machine.count(texts).tolist() == [len(x) for x in library.encode(texts)]
+    assert len(rounds) < 60
+
+
 def test_machine_starts_anew_when_it_is_full(library, vocabulary, monkeypatch):
     monkeypatch.setattr(T, "TABLE_CELLS", 1000)
     m, texts = T.Machine(vocabulary), hard_texts()
