@@ -4,26 +4,29 @@ A shard is a run of documents of one task, of about ``shard_words`` words.  Its
 case, marks and white space don't count) with a separator after each document.  From its suffix array come the
 Burrows-Wheeler transform, stored as a wavelet matrix with rank counts, and the suffix positions sampled at every
 ``sample``-th place of the text.  All test phrases, the windows of ``phrase`` words of every benchmark item (an item of
-fewer words is one phrase if it has ``least`` words), are searched backward at once; rows of their intervals walk to a
+fewer words is one phrase), are searched backward at once; rows of their intervals walk to a
 sampled position to be located.  Overlapping or adjoining occurrences merge into removal spans of characters, from the first
 to the last matched word.
 
 Defined results: null and empty texts and items match nothing; a null doc_id is an ordinary row; repeated rows are each
-reported; items that are equal count as one phrase (every item_id is listed); items of fewer than ``least`` words are ignored; an empty
-table on either side gives no spans; other columns are ignored by :func:`spans` and passed on unchanged by :func:`clean`.
+reported; items that are equal, or share a phrase, are all listed, in order; no item is too short to be searched, so an item of one word takes that word out of every text; very long
+texts are shards of their own, taken whole; an empty table on either side gives no spans; other columns, whatever their names, are ignored by :func:`spans` and passed on
+unchanged by :func:`clean`.
 
-Plan: one narrow scan of the documents, no shuffle.  The benchmark travels to the tasks; where it has more than ``chunk`` phrases
-it is searched in several rounds over the same index, so that a round's state stays bounded.
+Plan: one narrow scan of the documents, no shuffle.  The distinct phrases are a table that Spark makes; the driver passes it on in pieces of at most ``chunk``
+phrases, holding one piece at a time, each a broadcast variable of that bounded size.  A task searches one piece after another over the same index, so
+that what a round holds stays bounded as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -32,7 +35,6 @@ from . import kernel
 @dataclass(frozen=True)
 class Search:
     phrase: int = 8
-    least: int = 5
     shard_words: int = 1 << 19
     sample: int = 16
     chunk: int = 1 << 18
@@ -166,50 +168,59 @@ class Phrases:
 
     words: np.ndarray
     lengths: np.ndarray
-    items: list[list[int]] = field(default_factory=list)
+    items: list[list[int]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], s: Search) -> Phrases:
-        found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
-        words = kernel.Words([t or "" for _, t in rows])
-        for (item, _), lo, hi in zip(rows, words.bounds[:-1], words.bounds[1:]):
-            h = words.raw[lo:hi]
-            if len(h) < s.least:
-                continue
-            n = min(len(h), s.phrase)
-            for k in range(len(h) - n + 1):
-                found.setdefault(h[k : k + n].tobytes(), (h[k : k + n], set()))[1].add(item)
-        out = np.zeros((len(found), s.phrase), np.uint64)
-        lengths = np.zeros(len(found), np.int64)
-        for i, (h, _) in enumerate(found.values()):
-            out[i, s.phrase - len(h) :], lengths[i] = h, len(h)
-        return cls(out, lengths, [sorted(x for x in items if x is not None) for _, items in found.values()])
-
-
-def occurrences(words: kernel.Words, phrases: Phrases, s: Search) -> tuple[np.ndarray, np.ndarray]:
-    """(number of a word, number of the phrase that begins there), by one FM-index over all the texts."""
-    none = np.zeros(0, np.int64)
-    if not len(phrases.words) or not len(words.raw):
-        return none, none
-    values, ids = np.unique(words.raw, return_inverse=True)
-    sigma = len(values) + 2
-    counts = words.counts()
-    texts = np.repeat(np.arange(len(counts)), counts)
-    text = np.ones(len(ids) + len(counts), np.int64)  # 1 separates documents
-    text[np.arange(len(ids)) + texts] = ids + 2
-    at = np.minimum(np.searchsorted(values, phrases.words), len(values) - 1)
-    symbols = np.where(values[at] == phrases.words, at + 2, 0)
-    index = FMIndex(text, sigma, s.sample)
-    where, which = [], []
-    for k in range(0, len(symbols), s.chunk):
-        lo, hi = index.search(symbols[k : k + s.chunk], phrases.lengths[k : k + s.chunk])
+    def of(cls, table: pa.Table, s: Search) -> Phrases:
+        """Of rows (phrase, items), a phrase being the bytes of its words' hashes."""
+        found = [np.frombuffer(x, np.uint64) for x in table.column("phrase").to_pylist()]
+        words = np.zeros((len(found), s.phrase), np.uint64)
+        for i, h in enumerate(found):
+            words[i, s.phrase - len(h) :] = h
+        return cls(words, np.array([len(h) for h in found], np.int64), table.column("items").to_pylist())
+
+
+def phrase_table(benchmark: DataFrame, s: Search) -> DataFrame:
+    """(phrase, items): every distinct phrase of the benchmark and the sorted items that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in kernel.slices(batch):
+                words, at, found = kernel.Words(texts), [], []
+                for i, (lo, hi) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())):
+                    n = min(hi - lo, s.phrase)
+                    if n:
+                        own = {words.raw[k : k + n].tobytes() for k in range(lo, hi - n + 1)}
+                        found += own
+                        at += [i] * len(own)
+                yield pa.record_batch({"phrase": pa.array(found, pa.binary()), "item": part.column("item_id").take(pa.array(at, pa.int64()))})
+
+    each = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(run, "phrase binary, item long")
+    return each.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def occurrences(words: kernel.Words, pieces: Iterable[Phrases], s: Search) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray]]:
+    """Of each piece that occurs: (it, number of a word, number of the phrase that begins there), by one FM-index over all the texts."""
+    index = None
+    for phrases in pieces:
+        if not len(phrases.words) or not len(words.raw):
+            continue
+        if index is None:
+            values, ids = np.unique(words.raw, return_inverse=True)
+            counts = words.counts()
+            texts = np.repeat(np.arange(len(counts)), counts)
+            text = np.ones(len(ids) + len(counts), np.int64)  # 1 separates documents
+            text[np.arange(len(ids)) + texts] = ids + 2
+            index = FMIndex(text, len(values) + 2, s.sample)
+        at = np.minimum(np.searchsorted(values, phrases.words), len(values) - 1)
+        symbols = np.where(values[at] == phrases.words, at + 2, 0)
+        lo, hi = index.search(symbols, phrases.lengths)
         many = np.maximum(hi - lo, 0)
-        rows = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        where.append(index.locate(rows))
-        which.append(np.repeat(np.arange(len(many)) + k, many))
-    place = np.concatenate(where)
-    owner = np.searchsorted(np.cumsum(counts + 1), place, side="right")
-    return place - owner, np.concatenate(which)
+        if not many.any():
+            continue
+        place = index.locate(np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        owner = np.searchsorted(np.cumsum(counts + 1), place, side="right")
+        yield phrases, place - owner, np.repeat(np.arange(len(many)), many)
 
 
 def _merged(words: kernel.Words, first: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
@@ -227,17 +238,22 @@ def _merged(words: kernel.Words, first: np.ndarray, lengths: np.ndarray, text: n
     return out
 
 
-def _matches(texts: list[str], phrases: Phrases, s: Search) -> dict[int, tuple[list[tuple[int, int]], list[int]]]:
+def _matches(texts: list[str], pieces: Iterable[Phrases], s: Search) -> dict[int, tuple[list[tuple[int, int]], list[int]]]:
     """By number of the text: removal spans and items."""
     words = kernel.Words(texts)
-    first, which = occurrences(words, phrases, s)
-    owner = np.searchsorted(words.bounds, first, side="right") - 1
+    none = np.zeros(0, np.int64)
+    first, lengths, items = [none], [none], {}
+    for phrases, at, which in occurrences(words, pieces, s):
+        first.append(at)
+        lengths.append(phrases.lengths[which])
+        owner = np.searchsorted(words.bounds, at, side="right") - 1
+        for t, p in set(zip(owner.tolist(), which.tolist())):
+            items.setdefault(t, set()).update(phrases.items[p])
+    at = np.concatenate(first)
     out: dict[int, tuple[list[tuple[int, int]], list[int]]] = {}
-    for t, a, b in _merged(words, first, phrases.lengths[which], owner):
-        out.setdefault(t, ([], []))[0].append((a, b))
-    for t, p in set(zip(owner.tolist(), which.tolist())):
-        out[t][1].extend(phrases.items[p])
-    return {t: (spans, sorted(set(items))) for t, (spans, items) in out.items()}
+    for t, a, b in _merged(words, at, np.concatenate(lengths), np.searchsorted(words.bounds, at, side="right") - 1):
+        out.setdefault(t, ([], sorted(items[t])))[0].append((a, b))
+    return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch], s: Search) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -245,9 +261,33 @@ def _shards(batches: Iterator[pa.RecordBatch], s: Search) -> Iterator[tuple[pa.R
         yield from kernel.slices(batch, limit=6 * s.shard_words)
 
 
-def _phrases(docs: DataFrame, benchmark: DataFrame, s: Search):
-    rows = [(r["item_id"], r["text"]) for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
-    return docs.sparkSession.sparkContext.broadcast(Phrases.of(rows, s))
+class _Pieces:
+    """Pieces of the phrase table, each a broadcast variable; iterating holds one of them at a time."""
+
+    def __init__(self, spark: SparkSession, table: DataFrame, s: Search):
+        self.held, piece = [], []
+        for row in table.toLocalIterator():
+            piece.append((bytes(row["phrase"]), row["items"]))
+            if len(piece) == s.chunk:
+                self.held.append(self._send(spark, piece, s))
+                piece = []
+        if piece:
+            self.held.append(self._send(spark, piece, s))
+
+    @staticmethod
+    def _send(spark: SparkSession, piece: list[tuple[bytes, list[int]]], s: Search) -> Broadcast:
+        phrases, items = zip(*piece)
+        return spark.sparkContext.broadcast(Phrases.of(pa.table({"phrase": pa.array(phrases, pa.binary()), "items": pa.array(items, pa.list_(pa.int64()))}), s))
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for piece in self.held:
+            yield piece.value
+            if len(self.held) > 1:  # it is read again from the worker's file the next time
+                vars(piece).pop("_value", None)
+
+
+def _phrases(docs: DataFrame, benchmark: DataFrame, s: Search) -> _Pieces:
+    return _Pieces(docs.sparkSession, phrase_table(benchmark, s), s)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -265,7 +305,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, s: Search = Search()) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _shards(batches, s):
-            found = sorted(_matches(texts, shared.value, s).items())
+            found = sorted(_matches(texts, shared, s).items())
             if found:
                 at = [i for i, _ in found]
                 yield pa.record_batch({
@@ -285,7 +325,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, s: Search = Search()) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _shards(batches, s):
-            found = _matches(texts, shared.value, s)
+            found = _matches(texts, shared, s)
             if found:
                 new = {i: cut(texts[i], x) for i, (x, _) in found.items()}
                 left = dict(zip(new, kernel.Words(list(new.values())).counts().tolist()))
