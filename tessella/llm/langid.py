@@ -6,22 +6,24 @@ Texts are compared without case, everything but letters and marks being a space.
 ``k(x, landmarks) K^(-1/2)`` feed one-versus-rest kernel ridge regression; whole documents are scored in
 batches as two matrix products, presence x landmarks and kernel values x class weights.
 
-The classifier is fitted on a bounded sample of labelled rows: per language the ``sample`` rows of smallest
-hash of doc_id, of which ``landmarks`` (per language) are landmarks.  Scoring covers every document and its whole text.
+All characters of the landmarks and all labelled languages take part.  n-grams are 64-bit codes (three code points fit into one), looked up in a hash table.
 
-Defined results: a text without a letter (null, empty, symbols) gets language ``und``, margin 0, and is rejected;
-a document is also rejected if it is surely of another language than its ``lang`` says: the margin between the two
-best languages is at least ``sure``.  A null or unknown ``lang`` is never a contradiction.  Ties go to the
-alphabetically first language; repeated rows are scored each time; with no labelled text at all everything is ``und``;
-other columns are ignored by :func:`identify` and passed on unread by :func:`accept`.
+The classifier is fitted on a bounded sample of labelled rows: per language the ``sample`` (doc_id, lang) of smallest hash of doc_id, those of more than
+``longest`` characters last, as long as they have no more than ``characters`` in all (the first always counts); the first ``landmarks`` of a language are its landmarks.
+Texts of the sample are whole.  Scoring covers every document and its whole text.
 
-Plan: a scan of (doc_id, lang) picks the sample (top-k by window, pruned before its shuffle), a scan of the texts fetches
-it through a bounded broadcast join, and one narrow scan scores; no text is shuffled.
+Defined results: a text without a letter (null, empty, symbols) gets language ``und``, score and margin 0, and is rejected; a document is also rejected if it is
+surely of another language than its ``lang`` says: the margin between the two best languages is at least ``sure``.  A null or unknown ``lang`` is never a
+contradiction.  Ties go to the alphabetically first language; repeated rows are scored each time and are one labelled row (that of the smallest text if they differ);
+very long texts are scored whole; with no labelled text at all everything is ``und``; an empty table gives no rows;
+other columns, whatever their names, are ignored by :func:`identify` and passed on unread by :func:`accept`.
+
+Plan: a scan of (doc_id, lang, length) picks the sample (top-k by window, pruned before its shuffle), a scan of the texts fetches
+it through a join with its bounded list of ids, and one narrow scan scores; no other text is shuffled.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,10 +43,9 @@ class Settings:
     landmarks: int = 16
     ridge: float = 1e-2
     sure: float = 0.5
-    #: distinct characters told apart; rarer ones (in the landmarks) share one code that matches nothing.
-    alphabet: int = 112
-    #: languages told apart: those with most labelled rows.
-    languages: int = 64
+    #: characters of a labelled text beyond which it is taken last, and of all texts of a language.
+    longest: int = 50_000
+    characters: int = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -55,12 +56,60 @@ def _letters() -> np.ndarray:
     return table
 
 
+_SHIFT = np.uint64(21)  # bits of a code point
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(0)  # no n-gram has this code
+
+
+def _codes(letters: np.ndarray, n: int) -> np.ndarray:
+    """Codes of the n-grams that begin at each character but the last n - 1; of different n they differ."""
+    here = len(letters) - n + 1
+    out = letters[:here].copy()
+    for k in range(1, n):
+        if k == 3:  # beyond 63 bits: codes are hashes from here on
+            out = kernel.finish(out + _MIX)
+        out = (out << _SHIFT | letters[k : k + here]) if k < 3 else kernel.finish(out * _MIX + letters[k : k + here])
+    return out
+
+
+class Table:
+    """Numbers of known n-gram codes: open addressing with room to spare, probed for many codes at once."""
+
+    def __init__(self, codes: np.ndarray):
+        self.shift = np.uint64(64 - max(8, int(len(codes) * 4).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.numbers = np.full(size, _NONE), np.full(size, -1, np.int32)
+        todo, slot = np.arange(len(codes)), self._slot(codes)
+        while len(todo):
+            free = self.keys[slot[todo]] == _NONE
+            self.keys[slot[todo[free]]] = codes[todo[free]]  # of several on one place the last wins
+            won = self.keys[slot[todo]] == codes[todo]
+            self.numbers[slot[todo[won]]] = todo[won]
+            todo = todo[~won]
+            slot[todo] = (slot[todo] + 1) % size
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * _MIX >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Number of each code, -1 of one that is not known."""
+        slot = self._slot(codes)
+        met = self.keys[slot]
+        out = np.where(met == codes, self.numbers[slot], np.int32(-1))
+        todo = np.flatnonzero((met != codes) & (met != _NONE))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) % len(self.keys)
+            met = self.keys[slot[todo]]
+            same = met == codes[todo]
+            out[todo[same]] = self.numbers[slot[todo[same]]]
+            todo = todo[~same & (met != _NONE)]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray  # code point -> 1 .. A - 1, 0 where it has none
-    width: int
-    slots: list[np.ndarray]  # for each n, dense n-gram code -> feature or -1
+    table: Table
     features: int
     landmarks: np.ndarray  # features x m, scaled by 1 / sqrt(|grams|)
     weights: np.ndarray  # m x languages
@@ -69,18 +118,16 @@ class Model:
     def presence(self, texts: list[str]) -> np.ndarray:
         """float32 texts x features."""
         codes, offsets = kernel.codes_of(texts)
-        symbols = self.alphabet[_letters()[codes]]
+        letters = _letters()[codes].astype(np.uint64)
         out = np.zeros((len(texts), self.features + 1), np.float32)
         flat, owner = out.ravel(), np.repeat(np.arange(len(texts)) * (self.features + 1), np.diff(offsets))
-        run, usable = np.zeros(len(symbols), np.int64), np.ones(len(symbols), bool)
         for n in range(1, self.settings.orders + 1):
-            here = len(symbols) - n + 1
+            here = len(letters) - n + 1
             if here <= 0:
                 break
-            run = run[:here] * self.width + symbols[n - 1 :]
-            usable = usable[:here] & (symbols[n - 1 :] > 0) & (owner[:here] == owner[n - 1 :])
-            feature = self.slots[n - 1][run]
-            feature[~usable] = -1
+            feature = self.table.find(_codes(letters, n))
+            if n > 1:
+                feature[owner[:here] != owner[n - 1 :]] = -1
             flat[owner[:here] + feature + 1] = 1  # column 0 takes what is no feature
         return out[:, 1:]
 
@@ -114,24 +161,10 @@ def fit(texts: list[str], labels: list[str], s: Settings) -> Model:
     """Deterministic for the same rows in the same order."""
     languages = sorted(set(labels))
     chosen = [i for lang in languages for i in [k for k, x in enumerate(labels) if x == lang][: s.landmarks]]
-    seen = np.bincount(_letters()[kernel.codes_of([texts[i] for i in chosen])[0]], minlength=33) if chosen else np.zeros(33, int)
-    common = [c for c in np.argsort(-seen, kind="stable")[: s.alphabet - 1] if seen[c]]
-    alphabet = np.zeros(sys.maxunicode + 1, np.int64)
-    alphabet[common] = np.arange(1, len(common) + 1)
-    width = len(common) + 1
-    slots, features = [], 0
-    for n in range(1, s.orders + 1):
-        table = np.full(width**n, -1, np.int64)
-        for i in chosen:
-            x = alphabet[_letters()[kernel.codes_of([texts[i]])[0]]]
-            if len(x) >= n:
-                windows = np.lib.stride_tricks.sliding_window_view(x, n)
-                table[windows[(windows > 0).all(axis=1)] @ width ** np.arange(n)[::-1]] = 0
-        some = np.flatnonzero(table == 0)
-        table[some] = np.arange(features, features + len(some))
-        features += len(some)
-        slots.append(table)
-    model = Model(languages, alphabet, width, slots, features, np.zeros((features, 0), np.float32), np.zeros((0, len(languages)), np.float32), s)
+    found = [_codes(_letters()[kernel.codes_of([texts[i]])[0]].astype(np.uint64), n) for i in chosen for n in range(1, min(s.orders, len(texts[i])) + 1)]
+    known = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    features = len(known)
+    model = Model(languages, Table(known), features, np.zeros((features, 0), np.float32), np.zeros((0, len(languages)), np.float32), s)
     if not chosen:
         return model
     marks = model.presence([texts[i] for i in chosen])
@@ -149,13 +182,20 @@ def fit(texts: list[str], labels: list[str], s: Settings) -> Model:
     return model
 
 
+def sample(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, lang, pick) of the labelled rows to fit on: at most ``sample`` of a language, and ``characters`` of all but the first."""
+    labelled = docs.where("lang is not null and doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.col("size") > s.longest, F.xxhash64("doc_id"), "doc_id", "size")
+    once = labelled.groupBy("doc_id", "lang").agg(F.min("size").alias("size"))
+    picked = once.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= s.sample)
+    total = F.sum(F.col("size").cast("long")).over(Window.partitionBy("lang").orderBy("pick"))
+    return picked.withColumn("total", total).where((F.col("total") <= s.characters) | (F.col("pick") == 1)).select("doc_id", "lang", "size", "pick")
+
+
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Fit on the bounded sample; a labelled row is one with a non-null lang, doc_id and text."""
-    labelled = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    top = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where(F.col("lang").isin(top)).withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= s.sample).select("doc_id", "lang", "pick")
-    rows = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("lang", "pick", "text").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.length("text").alias("size"))
+    rows = texts.join(sample(docs, s), ["doc_id", "lang", "size"]).groupBy("lang", "pick").agg(F.min("text").alias("text")).orderBy("lang", "pick").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], s)
 
 
