@@ -8,17 +8,17 @@ by their number plus ``prior_length``; it is kept if the score is at least ``thr
     p_raw(b)    = (raw_b + 1) / (R + M)
     p_target(b) = (target_b + prior * M * p_raw(b)) / (T + prior * M)
 
-Defined results: a null, empty or blank text has no n-gram, score null, and is rejected; a repeated row
-counts and is scored each time; null labels make no document trusted; without any trusted document all scores are 0,
-so every text with a word is kept; empty tables give empty results; other columns are ignored by :func:`score`
-and passed on unread by :func:`accept`.
+That ratio is diluted by the length of a text, so a text is also rejected if any of its words is typical of documents labelled toxic (:class:`Toxicity`), however
+long it is: a second log-likelihood ratio, by word (without case) and document: a word whose share of toxic documents is ``ratio`` (a logarithm) above its
+share of trusted ones, and whose log-likelihood ratio statistic is at least twice the logarithm of the number of words looked at.  Near copies (equal MinHash) count as one document.
 
-:func:`accept` can also reject texts with a word that is typical of documents labelled toxic (:class:`Toxicity`), however long they are:
-a word whose share of toxic documents is ``ratio`` (a logarithm) above its share of trusted ones, and whose log-likelihood ratio
-statistic is at least twice the logarithm of the number of words looked at.  Near copies (equal MinHash) count as one document.
+Defined results: a null, empty or blank text has no n-gram, score null, and is rejected; a repeated row
+counts and is scored each time; null labels make no document trusted or toxic; a doc_id with several labels is toxic if one says so; without any trusted document all
+scores are 0 and no word is toxic, so every text with a word is kept; a score that ties with the threshold is kept; very long texts are counted and scored whole; empty
+tables give empty results; other columns, whatever their names, are ignored by :func:`score` and passed on unread by :func:`accept`.
 
-Plan: two scans of (doc_id, text), one shuffle of at most ``2**bits`` rows a task; no text is moved.
-:class:`Toxicity` adds a scan and a shuffle of the distinct words of each labelled document.
+Plan: two scans of (doc_id, text), one shuffle of at most ``2**bits`` rows a task; no text is moved.  :class:`Toxicity` adds a scan and a shuffle of the
+distinct words of each labelled document.
 """
 
 from __future__ import annotations
@@ -51,6 +51,11 @@ class Toxicity:
     ratio: float = 4.0
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in ``known``, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
 def _buckets(texts: list[str], rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text number of every n-gram."""
     words = kernel.Words(texts, kernel.token_table())
@@ -82,7 +87,7 @@ def count_buckets(docs: DataFrame, trusted: DataFrame, rules: Rules) -> DataFram
                     good = part.column("is_trusted").fill_null(False).to_numpy(zero_copy_only=False)
                 else:
                     known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-                    good = np.isin(part.column("doc_id").fill_null(0).to_numpy(), marked.value) & known
+                    good = _among(part.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(), marked.value) & known
                 raw += np.bincount(ids, minlength=size)
                 target += np.bincount(ids[good[owner]], minlength=size)
         some = np.flatnonzero(raw)
@@ -150,8 +155,8 @@ def toxic_words(docs: DataFrame, labels: DataFrame, toxicity: Toxicity) -> np.nd
                     yield _word_rows(texts, part.column("toxic").to_numpy(zero_copy_only=False))
                 else:
                     ids = part.column("doc_id").to_numpy()
-                    at = np.flatnonzero(np.isin(ids, marked.value[0]))
-                    yield _word_rows([texts[i] for i in at], np.isin(ids[at], marked.value[1]))
+                    at = np.flatnonzero(_among(ids, marked.value[0]))
+                    yield _word_rows([texts[i] for i in at], _among(ids[at], marked.value[1]))
 
     each = rows.mapInArrow(count, "word long, toxic boolean, copy long").distinct()
     table = each.groupBy("word").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).checkpoint()
@@ -166,44 +171,49 @@ def toxic_words(docs: DataFrame, labels: DataFrame, toxicity: Toxicity) -> np.nd
     return np.sort(found.column("word").to_numpy())
 
 
-def _scorer(spark: SparkSession, docs: DataFrame, labels: DataFrame, rules: Rules) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    ratio = spark.sparkContext.broadcast(weights(count_buckets(docs, trusted_ids(labels), rules), rules))
+Scores = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _scorer(docs: DataFrame, labels: DataFrame, rules: Rules, toxicity: Toxicity | None) -> Callable[[list[str]], Scores]:
+    """Of texts: scores, numbers of n-grams, which are toxic, which are kept."""
+    context = docs.sparkSession.sparkContext
+    ratio = context.broadcast(weights(count_buckets(docs, trusted_ids(labels), rules), rules))
+    bad = context.broadcast(toxic_words(docs, labels, toxicity) if toxicity else np.zeros(0, np.int64))
 
-    def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def scores(texts: list[str]) -> Scores:
         ids, owner = _buckets(texts, rules)
         grams = np.bincount(owner, minlength=len(texts))
-        return np.bincount(owner, weights=ratio.value[ids], minlength=len(texts)) / np.maximum(grams + rules.prior_length, 1), grams
+        s = np.bincount(owner, weights=ratio.value[ids], minlength=len(texts)) / np.maximum(grams + rules.prior_length, 1)
+        toxic = np.zeros(len(texts), bool)
+        if len(bad.value):
+            words = kernel.Words(texts)
+            hit = _among(kernel.finish(words.raw).view(np.int64), bad.value)
+            toxic[np.repeat(np.arange(len(texts)), words.counts())[hit]] = True
+        return s, grams, toxic, (s >= rules.threshold) & (grams > 0) & ~toxic
 
     return scores
 
 
-def score(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, n_grams, score, keep) of every row of ``docs``."""
-    scores = _scorer(docs.sparkSession, docs, labels, rules)
+def score(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), toxicity: Toxicity | None = Toxicity()) -> DataFrame:
+    """(doc_id, n_grams, score, toxic_word, keep) of every row of ``docs``."""
+    scores = _scorer(docs, labels, rules, toxicity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in kernel.slices(batch):
-                s, grams = scores(texts)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_grams": grams.astype(np.int64), "score": pa.array(s, mask=grams == 0), "keep": (s >= rules.threshold) & (grams > 0)})
+                s, grams, toxic, keep = scores(texts)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_grams": grams.astype(np.int64), "score": pa.array(s, mask=grams == 0), "toxic_word": toxic, "keep": keep})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, score double, keep boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, score double, toxic_word boolean, keep boolean")
 
 
-def accept(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), toxicity: Toxicity | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; with ``toxicity``, texts with a toxic word go too."""
-    scores = _scorer(docs.sparkSession, docs, labels, rules)
-    shared = toxicity and docs.sparkSession.sparkContext.broadcast(toxic_words(docs, labels, toxicity))
+def accept(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), toxicity: Toxicity | None = Toxicity()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    scores = _scorer(docs, labels, rules, toxicity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in kernel.slices(batch):
-                s, grams = scores(texts)
-                keep = (s >= rules.threshold) & (grams > 0)
-                if shared:
-                    words = kernel.Words(texts)
-                    hit = np.isin(kernel.finish(words.raw).view(np.int64), shared.value)
-                    keep[np.repeat(np.arange(len(texts)), words.counts())[hit]] = False
-                yield part.filter(pa.array(keep))
+                yield part.filter(pa.array(scores(texts)[3]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -86,13 +86,13 @@ FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN texts t USING (f) LEFT
 """
 
 _CANONICAL = r"""
-CASE WHEN host <> '' THEN host || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '(/index)?\.html?$|/+$', '')
+CASE WHEN host <> '' THEN host || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/index\.html?$|/+$', '')
     || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END
 """
 
 _URLS = rf"""
 WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://|^//', '') AS rest FROM pages),
-b AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^.*@|:(80|443)$', '', 'g'), '^(www|m)\.', '') AS host,
+b AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^.*@|:(80|443)$', '', 'g'), '^www\.', '') AS host,
     list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM a),
 c AS (SELECT page_id, url, {_CANONICAL} AS canonical_url FROM b)
 SELECT page_id, url, canonical_url, canonical_url IS NOT NULL AND canonical_url IN
@@ -129,26 +129,41 @@ FROM p
 _M = "18446744073709551616::UHUGEINT"
 
 
-def _finish(h: str) -> str:
-    """Bucket of a 64-bit hash, as kernel.finish and the top 16 bits."""
+def _mixed(h: str) -> str:
+    """kernel.finish."""
     mixed = f"((xor(({h})::UBIGINT, ({h})::UBIGINT >> 32)::UHUGEINT * {int(kernel._FINISH)}) % {_M})::UBIGINT"
-    return f"xor({mixed}, {mixed} >> 29) >> 48"
+    return f"xor({mixed}, {mixed} >> 29)"
 
 
-#: The polynomial word hash of the kernel in 128-bit arithmetic, counted and scored as quality.Rules() says.
-_QUALITY = f"""
-WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents),
+def _polynomial(word: str, code: str) -> str:
+    """The polynomial word hash of the kernel in 128-bit arithmetic."""
+    return f"list_reduce(list_reverse(list_transform(string_split({word}, ''), lambda c: (({code})::UHUGEINT * {int(kernel._STEP)}) % {_M})), lambda h, v: (h * {kernel._BASE} + v) % {_M})"
+
+
+_PART = "CASE WHEN {0} > 0 THEN {0} * ln({0} * (m + n) / ((a + b) * {1})) ELSE 0 END"
+#: Counted and scored as quality.Rules() and quality.Toxicity() say.
+_QUALITY = rf"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '\S+') AS w, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS f FROM documents),
 tokens AS (SELECT r, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words),
-vocabulary AS (SELECT w, list_reduce(list_reverse(list_transform(string_split(w, ''), lambda c: ((unicode(c) + 1)::UHUGEINT * {int(kernel._STEP)}) % {_M})), lambda h, v: (h * {kernel._BASE} + v) % {_M}) AS h
-    FROM (SELECT DISTINCT w FROM tokens)),
+vocabulary AS (SELECT w, {_polynomial("w", "unicode(c) + 1")} AS h FROM (SELECT DISTINCT w FROM tokens)),
 hashed AS (SELECT r, doc_id, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS g FROM tokens JOIN vocabulary USING (w)),
 grams AS (SELECT r, doc_id, ((h + 1) % {_M}) AS h FROM hashed UNION ALL SELECT r, doc_id, ((h * {int(kernel._STEP)} + g + 2) % {_M}) FROM hashed WHERE g IS NOT NULL),
-buckets AS (SELECT r, doc_id, {_finish("h")} AS b FROM grams),
+buckets AS (SELECT r, doc_id, {_mixed("h")} >> 48 AS b FROM grams),
 counts AS (SELECT b, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)) AS target FROM buckets GROUP BY b),
 totals AS (SELECT sum(raw)::DOUBLE AS n, sum(target)::DOUBLE AS t, 65536.0::DOUBLE AS m FROM counts),
 ratio AS (SELECT b, ln((target + 16 * (raw + 1) * m / (n + m)) / (t + 16 * m)) - ln((raw + 1) / (n + m)) AS x FROM counts, totals),
-scores AS (SELECT r, count(*) AS n_grams, sum(x) / (count(*) + 16) AS score FROM buckets JOIN ratio USING (b) GROUP BY r)
-SELECT doc_id, coalesce(n_grams, 0) AS n_grams, round(score, 9) AS score, coalesce(score >= -0.05, false) AS keep FROM words LEFT JOIN scores USING (r)
+scores AS (SELECT r, count(*) AS n_grams, sum(x) / (count(*) + 16) AS score FROM buckets JOIN ratio USING (b) GROUP BY r),
+known AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 1 AND toxic = 0) GROUP BY doc_id),
+labelled AS (SELECT DISTINCT r, toxic, unnest(f) AS w FROM words JOIN known USING (doc_id)),
+mixed AS (SELECT r, toxic, w, h FROM labelled JOIN (SELECT w, {_mixed(_polynomial("w", "unicode(c)"))} AS h FROM (SELECT DISTINCT w FROM labelled)) USING (w)),
+copies AS (SELECT r, any_value(toxic) AS toxic, {", ".join(f"min({_mixed(f'((h::UHUGEINT + {k}) % {_M})')}) AS l{k}" for k in range(3))} FROM mixed GROUP BY r),
+sizes AS (SELECT count(DISTINCT (l0, l1, l2)) FILTER (toxic) AS m, count(DISTINCT (l0, l1, l2)) FILTER (NOT toxic) AS n FROM copies),
+often AS (SELECT w, count(DISTINCT (l0, l1, l2)) FILTER (c.toxic)::DOUBLE AS a, count(DISTINCT (l0, l1, l2)) FILTER (NOT c.toxic)::DOUBLE AS b FROM labelled JOIN copies c USING (r) GROUP BY w),
+typical AS (SELECT w FROM often, sizes WHERE m > 0 AND n > 0 AND ln((a + 0.5) / (m + 1)) - ln((b + 0.5) / (n + 1)) >= 4.0
+    AND 2 * ({_PART.format("a", "m")} + {_PART.format("b", "n")}) >= 2 * ln((SELECT count(*) FROM often))),
+hit AS (SELECT DISTINCT r, true AS hit FROM (SELECT r, unnest(f) AS w FROM words) WHERE w IN (SELECT w FROM typical))
+SELECT doc_id, coalesce(n_grams, 0) AS n_grams, round(score, 9) AS score, coalesce(hit, false) AS toxic_word, coalesce(score >= -0.05, false) AND hit IS NULL AS keep
+FROM words LEFT JOIN scores USING (r) LEFT JOIN hit USING (r)
 """
 
 ORACLES: dict[str, str] = {"op6_quality_rules": _QUALITY, "op2_ngram_jaccard_join": _JACCARD, "op3_url_filter": _URLS, "op4_prefix_targets": _PREFIX_TARGETS, "op5_warc_transactions": _WARC}

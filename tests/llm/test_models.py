@@ -132,7 +132,7 @@ def test_quality_equals_plain_counts(spark, documents):
     got = {r["doc_id"]: r for r in quality.score(docs, labels, rules).collect()}
     for (doc_id, _), (grams, value) in zip(rows, plain_scores(rows, trusted, rules)):
         assert got[doc_id]["n_grams"] == grams and math.isclose(got[doc_id]["score"], value, abs_tol=1e-9)
-        assert got[doc_id]["keep"] == (value >= rules.threshold)
+        assert got[doc_id]["keep"] == (value >= rules.threshold and not got[doc_id]["toxic_word"])
     kept = {r["doc_id"] for r in quality.accept(docs, labels, rules).collect()}
     assert kept == {i for i, r in got.items() if r["keep"]}
 
@@ -161,6 +161,7 @@ def test_quality_rejects_junk_and_keeps_the_good(spark):
     share = {(r["quality"], r["toxic"]): r["count"] for r in kept.collect()}
     total = {(r["quality"], r["toxic"]): r["count(doc_id)"] for r in out.collect()}
     assert share[1, 0] / total[1, 0] > 0.995 and share.get((0, 0), 0) / total[0, 0] < 0.05
+    assert share.get((1, 1), 0) / total[1, 1] < 0.05 and share.get((0, 1), 0) / total[0, 1] < 0.05
 
 
 def test_toxic_documents_do_not_pass_the_pipeline(spark):
@@ -215,7 +216,7 @@ def test_kernel_values_equal_set_intersections():
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     s = langid.Settings()
-    seen = docs.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by xxhash64(doc_id), doc_id) as k").where(f"k <= {s.sample}").select("doc_id")
+    seen = langid.sample(docs, s).select("doc_id")
     rest = langid.identify(docs, s).join(docs.select("doc_id", "lang"), "doc_id").join(seen, "doc_id", "left_anti")
     right, n, kept = rest.selectExpr("count_if(language = lang)", "count(*)", "count_if(keep)").first()
     assert right / n > 0.98 and kept / n > 0.99
@@ -229,6 +230,73 @@ def test_rejects_what_is_surely_of_another_language(spark, documents):
     assert len(gone & planted) > 0.8 * len(planted) and len(gone - planted) <= 2
 
 
+def test_every_labelled_language_and_every_script_takes_part(spark):
+    """70 languages, most in a script of their own, in one model; texts of letters that the landmarks lack are no language's."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(30)] if k % 2 else [chr(0x61 + (k // 2 + i) % 26) for i in range(5)] + [chr(0x400 + k)]
+        rows += [(100 * k + i, "".join(rng.choice([*letters, " "]) for _ in range(150)), f"x{k:02}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, langid.Settings(sample=8, landmarks=4))
+    assert len(model.languages) == 70
+    out = langid.identify(docs, langid.Settings(sample=8, landmarks=4)).join(docs, "doc_id").selectExpr("avg(int(language = lang))").first()[0]
+    assert out > 0.95
+
+
+def test_the_sample_is_bounded_under_repeats_and_long_texts(spark):
+    rows = [(1, "der die das und nicht", "de")] * 300 + [(2, "y" * 900, "de"), (3, "kurz und gut", "de"), (4, "long " * 500, "en")] + [(10 + k, "the and of", "fr") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    s = langid.Settings(sample=4, longest=100, characters=35)
+    got = {lang: sorted(r["doc_id"] for r in langid.sample(docs, s).collect() if r["lang"] == lang) for lang in ("de", "en", "fr")}
+    assert got["de"] == [1, 3] and got["en"] == [4] and len(got["fr"]) == 3
+    seen = []
+    fit = langid.fit
+    try:
+        langid.fit = lambda texts, labels, s: (seen.append((len(texts), sum(map(len, texts)))), fit(texts, labels, s))[1]
+        langid.train(docs, langid.Settings())
+    finally:
+        langid.fit = fit
+    assert seen[0][0] == 3 + 1 + 9
+
+
+def plain_decisions(rows, s):
+    """(language, margin) of each text from sets, dense kernel matrices and the normal equations of the ridge, as the docstring says."""
+    def grams(t):
+        t = "".join(chr(c) for c in langid._letters()[np.frombuffer(t.encode("utf-32-le"), np.uint32)])
+        return {t[i : i + n] for n in range(1, s.orders + 1) for i in range(len(t) - n + 1)}
+
+    langs = sorted({lang for _, lang in rows})
+    marks = [grams(t) for lang in langs for t in [x for x, y in rows if y == lang][: s.landmarks]]
+    known = set().union(*marks)
+    k = lambda t: np.array([len(t & m) / math.sqrt(max(1, len(t)) * len(m)) for m in marks])
+    values, vectors = np.linalg.eigh(np.array([k(m) for m in marks]))
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = np.array([k(grams(t) & known) for t, _ in rows]) @ root
+    scores = []
+    for lang in langs:  # one ridge a language, rows weighted so that languages weigh the same
+        y = np.array([1.0 if x == lang else -1.0 for _, x in rows])
+        w = np.array([1 / sum(x == z for _, z in rows) for _, x in rows])
+        half = np.sqrt(w)[:, None] * phi
+        scores.append(phi @ np.linalg.lstsq(np.vstack([half, math.sqrt(s.ridge) * np.eye(phi.shape[1])]), np.concatenate([np.sqrt(w) * y, np.zeros(phi.shape[1])]), rcond=None)[0])
+    scores = np.array(scores).T
+    top = np.sort(scores, axis=1)
+    return [(langs[i], b - a) for i, a, b in zip(scores.argmax(axis=1), top[:, -2], top[:, -1])]
+
+
+def test_decisions_equal_dense_matrices(spark, documents):
+    s = langid.Settings(landmarks=5)
+    rows = [(r["doc_id"], r["text"][:4000], r["lang"]) for r in documents.where("n_chars > 20").orderBy("doc_id").limit(80).collect()]
+    want = plain_decisions([(t, lang) for _, t, lang in rows], s)
+    model = langid.fit([t for _, t, _ in rows], [lang for _, _, lang in rows], s)
+    best, _, lead = model.decide([t for _, t, _ in rows])
+    assert [model.languages[i] for i in best] == [lang for lang, _ in want] and np.allclose(lead, [m for _, m in want], atol=2e-3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for r in langid.identify(docs, s).join(docs, "doc_id").collect():
+        assert r["keep"] == (r["language"] == r["lang"] or r["margin"] < s.sure)
+
+
 def test_language_odd_rows(odd, empty):
     rows = langid.identify(odd).collect()
     assert len(rows) == 12
