@@ -3,26 +3,34 @@
 Records are rows (record_id, type, concurrent_to, target_uri, date, headers, block): ids without angle brackets, ``concurrent_to`` an
 array (a record may name several, in either direction), ``headers`` a map.  :func:`parse` makes them of raw record texts.
 
-A capture is named by its response record.  A record that names a response, or is named by one, belongs to it; one that names such a
-record (metadata of a request, say) belongs to it as well: links are followed over ``hops`` steps, on ids alone.  Then payloads move once, to
-their capture.  Records that reach no response form captures of their own, named by the smallest record_id that they name or have.
-
-Defined results: a capture has one response (the smallest record_id; a repeated one counts once), and arrays of all its requests and of
-its metadata, ordered by record_id, which may be empty; links to unknown records are ignored; a record naming several responses
-belongs to the smallest; null ids or types are dropped; a null block stays null; empty tables give no rows; other columns are ignored.
-
-Plan: link resolution reads and shuffles ids alone (checkpointed); responses need no link, so their blocks move once, to an
-aggregation by capture; requests and metadata, which are small, move once more, to find theirs.
+A capture is named by its *primary* record: a response, revisit, resource or conversion.  A record that names a primary one, or is named
+by one, belongs to it (to the smallest of several).  The others that hang together through links, over however many steps, belong to the smallest
+capture that any of them is linked to; if there is none, they are a capture of their own, named by the smallest record_id
+that they have or name.
+
+Defined results: no type is dropped: ``response`` is the primary record (``warc-type`` in its headers tells its kind; the smallest in content if a record_id
+repeats with another, and a repeated row counts once), ``requests`` are all requests, ``metadata`` all other records, each ordered by record_id, and both may be
+empty; links to unknown records only tell which records hang together; null ids or types are dropped; a null block stays null and a
+very long or empty one stays whole; empty tables give no rows; other columns, whatever their names, are ignored.
+
+Plan: the records are parsed once, into a table in the shared folder.  Link resolution reads its ids alone; only records that name no primary one
+need more than one join, and components of the rest are found in a logarithmic number of rounds.  Primary records need no link, so their blocks move once,
+to an aggregation by capture; the others, which are small, move once more, to find theirs.  A capture is one row, so its
+records must fit into a task; nothing else has to.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .signature_tree import components
 
-KINDS = ("request", "response", "metadata")
+PRIMARY = ("response", "revisit", "resource", "conversion")
+_PARTS = ("response", "requests", "metadata")
 
 
 def parse(raw: DataFrame) -> DataFrame:
@@ -40,54 +48,55 @@ def parse(raw: DataFrame) -> DataFrame:
     return rows.select(plain(h("warc-record-id")).alias("record_id"), F.lower(h("warc-type")).alias("type"), "concurrent_to", h("warc-target-uri").alias("target_uri"), h("warc-date").alias("date"), "headers", "block")
 
 
-_USABLE = "record_id is not null and type in ('request', 'response', 'metadata')"
+_USABLE = "record_id is not null and type is not null"
 
 
-def capture_ids(records: DataFrame, hops: int = 3) -> DataFrame:
-    """(record_id, capture_id) of every record; a response is a capture itself, and so is what shares its id.
-
-    Ids are read once; each hop joins only the links of records that are still open to the ids that the hop before settled."""
+def capture_ids(records: DataFrame) -> DataFrame:
+    """(record_id, capture_id) of every record; a primary record is a capture itself, and so is what shares its id."""
     kernel.shared_checkpoints(records.sparkSession)
-    ids = records.where(_USABLE).select("record_id", (F.col("type") == "response").alias("is_response"), F.coalesce("concurrent_to", F.array().cast("array<string>")).alias("named"))
-    nodes = ids.groupBy("record_id").agg(F.max("is_response").alias("is_response"), F.array_distinct(F.flatten(F.collect_list("named"))).alias("named")).checkpoint()
-    told = nodes.select("record_id", "is_response", F.explode("named").alias("to")).where("to is not null and to <> record_id")
-    open_ = nodes.where("not is_response").select(F.col("record_id").alias("a"))
-    there = told.where("not is_response").select(F.col("record_id").alias("a"), F.col("to").alias("b"))
-    back = told.select(F.col("to").alias("a"), F.col("record_id").alias("b")).join(open_, "a", "left_semi")
-    links = there.union(back).distinct().checkpoint()
-    new = nodes.where("is_response").select(F.col("record_id").alias("b"), F.col("record_id").alias("capture"))
-    settled = None
-    for _ in range(hops):
-        reached = links.join(new, "b").groupBy("a").agg(F.min("capture").alias("capture")).checkpoint()
-        if reached.isEmpty():
-            break
-        settled = reached if settled is None else settled.union(reached)
-        links = links.join(reached, "a", "left_anti").checkpoint()
-        new = reached.withColumnRenamed("a", "b")
-    rest = nodes.select("record_id", F.when(F.col("is_response"), F.col("record_id")).otherwise(F.least("record_id", F.array_min("named"))).alias("capture_id"))
-    if settled is None:
-        return rest
-    done = settled.select(F.col("a").alias("record_id"), F.col("capture").alias("capture_id"))
-    return done.union(rest.join(done, "record_id", "left_anti"))
-
-
-def assemble(records: DataFrame, hops: int = 3) -> DataFrame:
+    ids = records.where(_USABLE).select("record_id", F.col("type").isin(*PRIMARY).alias("is_primary"), F.coalesce("concurrent_to", F.array().cast("array<string>")).alias("named"))
+    nodes = ids.groupBy("record_id").agg(F.max("is_primary").alias("is_primary"), F.array_distinct(F.flatten(F.collect_list("named"))).alias("named")).checkpoint()
+    told = nodes.select(F.col("record_id").alias("a"), F.explode("named").alias("b")).where("b is not null and b <> a")
+    links = told.union(told.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    primary = nodes.where("is_primary").select("record_id")
+    others = nodes.where("not is_primary").select("record_id")
+    # next to a primary record (ids that only links know take part, so that they can connect others)
+    near = links.join(primary.withColumnRenamed("record_id", "b"), "b").groupBy("a").agg(F.min("b").alias("capture"))
+    near = near.join(primary.withColumnRenamed("record_id", "a"), "a", "left_anti").checkpoint()
+    far = links.join(primary.withColumnRenamed("record_id", "a"), "a", "left_anti").join(near, "a", "left_anti").checkpoint()
+    touch = far.join(near.select(F.col("a").alias("b"), "capture"), "b").groupBy("a").agg(F.min("capture").alias("capture"))
+    edges = far.join(near.select(F.col("a").alias("b")), "b", "left_anti").checkpoint()
+    if edges.isEmpty():
+        rest = touch.select(F.col("a").alias("record_id"), F.col("capture").alias("capture_id"))
+    else:
+        roots = components(edges).withColumnRenamed("node", "a")
+        reached = touch.join(roots, "a", "left").groupBy(F.coalesce("root", "a").alias("root")).agg(F.min("capture").alias("capture")).checkpoint()
+        group = far.select("a").distinct().join(roots, "a", "left").select("a", F.coalesce("root", "a").alias("root"))
+        rest = group.join(reached, "root", "left").select(F.col("a").alias("record_id"), F.coalesce("capture", "root").alias("capture_id"))
+    linked = near.select(F.col("a").alias("record_id"), F.col("capture").alias("capture_id")).union(rest)
+    found = others.join(linked, "record_id", "left").select("record_id", F.coalesce("capture_id", "record_id").alias("capture_id"))
+    return primary.select("record_id", F.col("record_id").alias("capture_id")).union(found)
+
+
+def assemble(records: DataFrame) -> DataFrame:
     """(capture_id, target_uri, date, response, requests, metadata): one nested row for each capture."""
+    spark = records.sparkSession
+    kernel.shared_checkpoints(spark)
+    headers = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
+    own = records.where(_USABLE).select("record_id", "type", "concurrent_to", "target_uri", "date", headers.alias("headers"), "block")
+    at = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    own.write.parquet(at)
+    own = spark.read.schema(own.schema).parquet(at)
+    is_primary = F.col("type").isin(*PRIMARY)
+    kind = F.when(is_primary, "response").when(F.col("type") == "request", "requests").otherwise("metadata")
     part = F.struct("record_id", "target_uri", "date", "headers", "block")
-    own = records.where(_USABLE).select("record_id", "type", part.alias("part"))
-    others = own.where("type <> 'response'").join(capture_ids(records, hops), "record_id")
-    rows = own.where("type = 'response'").select(F.col("record_id").alias("capture_id"), "type", "part").union(others.select("capture_id", "type", "part"))
-    of = lambda kind: F.when(F.col("type") == kind, F.col("part"))
-    tidy = lambda c: _by_id(F.array_distinct(F.transform(c, lambda p: F.struct(p["record_id"].alias("record_id"), p["target_uri"].alias("target_uri"), p["date"].alias("date"), F.array_sort(F.transform(F.map_entries(p["headers"]), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))).alias("headers"), p["block"].alias("block")))))
-    done = rows.groupBy("capture_id").agg(*(F.collect_list(of(k)).alias(k) for k in KINDS)).select("capture_id", *(tidy(k).alias(k) for k in KINDS))
+    others = own.where(~is_primary).join(capture_ids(own), "record_id")
+    rows = own.where(is_primary).select(F.col("record_id").alias("capture_id"), kind.alias("kind"), part.alias("part")).union(others.select("capture_id", kind.alias("kind"), part.alias("part")))
+    of = lambda k: F.when(F.col("kind") == k, F.col("part"))
+    done = rows.groupBy("capture_id").agg(*(F.collect_list(of(k)).alias(k) for k in _PARTS)).select("capture_id", *(F.array_sort(F.array_distinct(k)).alias(k) for k in _PARTS))
     response = F.get("response", F.lit(0))
-    some = F.coalesce(response, F.get("request", F.lit(0)), F.get("metadata", F.lit(0)))
-    return done.select("capture_id", some["target_uri"].alias("target_uri"), some["date"].alias("date"), response.alias("response"), F.col("request").alias("requests"), "metadata")
-
-
-def _by_id(c: Column) -> Column:
-    """Sorted by record_id, then by what else differs."""
-    return F.array_sort(c)
+    some = F.coalesce(response, F.get("requests", F.lit(0)), F.get("metadata", F.lit(0)))
+    return done.select("capture_id", some["target_uri"].alias("target_uri"), some["date"].alias("date"), response.alias("response"), "requests", "metadata")
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
