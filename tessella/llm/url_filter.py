@@ -1,27 +1,33 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join that removes its false positives.
 
-The canonical form of a URL has: the host in lower case without ``www.``, ``m.`` or ``blog.``-like user parts kept; no scheme, port
-80 or 443, fragment or default page; a query without tracking parameters, the rest sorted; no slash at the end of the path.
+The canonical form of a URL has: the host in lower case without ``www.``; no scheme, user, port 80 or 443, fragment or ``index.html``; a query
+without tracking parameters, the rest sorted; no slash at the end of the path.  Nothing else is taken for equal (``/x.html`` and ``/x`` are two pages, and so
+are those of a mobile host).
 
 The filter is a table of blocks: block number -> four 64-bit words.  One 64-bit hash of a canonical URL picks its block and, by
 its other bits, one bit in each word, so a probe touches one block.  Blocks are built with ``bit_or`` and probed by an equi-join on the
 block number, within whole-stage code generation.  There are ``2**k`` blocks, at least ``bits_per_url`` bits for each listed URL.
 
-Sizes are checked: a filter of up to ``broadcast_blocks`` blocks is broadcast; a larger one is joined by shuffle, on
-hashes and row keys alone.  Possible hits meet the list itself in a hash join on the canonical URL.
+Plan: the distinct listed URLs are written once to the shared folder, from which filter and list are read; the pages are read once.  Both joins are left joins
+that Spark broadcasts or shuffles by the size of the filter and of the list, which it reads from their files.  In the second only possible hits bear a key
+that can meet the list; the others bear one that can't, spread by their hash, so that no task gets them all.
 
 Defined results: a null, blank or host-less URL has a null canonical form and is never listed; listed URLs count once however
-often and in whatever spelling they are listed; every row gives one result row, repeated ones too; an empty list lists nothing; other
-columns of the pages pass through, those that would clash with ``canonical_url``, ``possible`` and ``listed`` are replaced.
+often and in whatever spelling they are listed; every row gives one result row, repeated ones too; very long URLs are taken whole; an empty list lists
+nothing and empty pages give no rows; other columns of the pages pass through, whatever their names, but for ``canonical_url``, ``possible`` and ``listed``, which are
+replaced; columns of the list besides ``url`` are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel
+
 #: Query parameters that don't change what a URL shows.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
 
@@ -29,15 +35,14 @@ TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
 @dataclass(frozen=True)
 class Filter:
     bits_per_url: int = 16
-    broadcast_blocks: int = 1 << 20
 
 
 def canonical(url: Column) -> Column:
     """Canonical form, or null."""
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), r"(?s)#.*$", ""), r"(?i)^[a-z][a-z0-9+.-]*://|^//", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r"^.*@|:(80|443)$", "")
-    host = F.regexp_replace(host, r"^(www|m)\.", "")
-    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"(/index)?\.html?$|/+$", "")
+    host = F.regexp_replace(host, r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/index\.html?$|/+$", "")
     query = F.regexp_extract(rest, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
@@ -45,7 +50,7 @@ def canonical(url: Column) -> Column:
 
 
 def _block(h: Column, blocks: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(h, 40), F.lit(blocks)).cast("int")
+    return F.pmod(F.shiftrightunsigned(h, 24), F.lit(blocks))
 
 
 def _word(h: Column, i: int) -> Column:
@@ -55,8 +60,8 @@ def _word(h: Column, i: int) -> Column:
 
 def build(listed: DataFrame, f: Filter = Filter()) -> tuple[DataFrame, int]:
     """The filter of a table (canonical_url) of distinct URLs as rows (block, w0 .. w3), and how many blocks it spans."""
-    blocks = 1
-    while blocks * 256 < listed.count() * f.bits_per_url:
+    blocks, n = 1, listed.count()
+    while blocks * 256 < n * f.bits_per_url:
         blocks *= 2
     h = F.xxhash64("canonical_url")
     return listed.select(_block(h, blocks).alias("block"), *(_word(h, i).alias(f"w{i}") for i in range(4))).groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4))), blocks
@@ -64,20 +69,23 @@ def build(listed: DataFrame, f: Filter = Filter()) -> tuple[DataFrame, int]:
 
 def mark(pages: DataFrame, listed: DataFrame, f: Filter = Filter()) -> DataFrame:
     """``pages`` with canonical_url, possible (passed the filter) and listed (is in ``listed.url``)."""
-    names = listed.select(canonical(F.col("url")).alias("canonical_url")).where("canonical_url is not null").distinct()
+    spark = pages.sparkSession
+    kernel.shared_checkpoints(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/urls-{uuid.uuid4().hex}"
+    listed.select(canonical(F.col("url")).alias("canonical_url")).where("canonical_url is not null").distinct().write.parquet(at)
+    names = spark.read.schema("canonical_url string").parquet(at)
     table, blocks = build(names, f)
-    if blocks <= f.broadcast_blocks:
-        table = F.broadcast(table)
     own = [c for c in pages.columns if c not in ("canonical_url", "possible", "listed")]
-    out = pages.select(*own, canonical(F.col("url")).alias("canonical_url"))
-    h = F.xxhash64("canonical_url")
-    hit = F.col("canonical_url").isNotNull()
+    free = "_"  # begins the names of our own columns
+    while any(c.startswith(free) for c in own):
+        free += "_"
+    out = pages.select(*own, canonical(F.col("url")).alias("canonical_url")).withColumn(f"{free}hash", F.xxhash64("canonical_url"))
+    h, hit = F.col(f"{free}hash"), F.col("canonical_url").isNotNull()
     for i in range(4):
-        hit = hit & (F.col(f"__w{i}").bitwiseAND(_word(h, i)) != 0)
-    table = table.select(F.col("block").alias("__block"), *(F.col(f"w{i}").alias(f"__w{i}") for i in range(4)))
-    out = out.join(table, (_block(h, blocks) == F.col("__block")) & F.col("canonical_url").isNotNull(), "left").withColumn("possible", F.coalesce(hit, F.lit(False)))
-    out = out.drop("__block", "__w0", "__w1", "__w2", "__w3")
-    # only possible hits carry a key, so only they can meet the list; rows without one stay where they are
-    exact = names.select(F.col("canonical_url").alias("__url")).hint("shuffle_hash")
-    hits = out.where("possible").join(exact, F.col("canonical_url") == F.col("__url"), "left").withColumn("listed", F.col("__url").isNotNull()).drop("__url")
-    return hits.union(out.where("not possible").withColumn("listed", F.lit(False)))
+        hit = hit & (F.col(f"{free}w{i}").bitwiseAND(_word(h, i)) != 0)
+    table = table.select(F.col("block").alias(f"{free}block"), *(F.col(f"w{i}").alias(f"{free}w{i}") for i in range(4)))
+    out = out.join(table, _block(h, blocks) == F.col(f"{free}block"), "left").withColumn("possible", F.coalesce(hit, F.lit(False)))
+    key = F.when(F.col("possible"), F.col("canonical_url")).otherwise(F.concat(F.lit(" "), h.cast("string")))  # no canonical URL begins with a space
+    exact = names.select(F.col("canonical_url").alias(f"{free}url"))
+    out = out.join(exact, key == F.col(f"{free}url"), "left")
+    return out.select(*own, "canonical_url", "possible", F.col(f"{free}url").isNotNull().alias("listed"))

@@ -9,8 +9,11 @@ from tessella.llm import chat, url_filter, warc
 
 def test_canonical_forms(spark):
     cases = {
-        "HTTP://WWW.Example.com:80/a/b.html?utm_source=x&b=2&a=1#top": "example.com/a/b?a=1&b=2",
-        "https://m.example.com/a/b/": "example.com/a/b",
+        "HTTP://WWW.Example.com:80/a/b.html?utm_source=x&b=2&a=1#top": "example.com/a/b.html?a=1&b=2",
+        "https://m.example.com/a/b/": "m.example.com/a/b",
+        "http://example.com/x.html": "example.com/x.html",
+        "http://example.com/x": "example.com/x",
+        "http://www.example.com/x/index.htm#a": "example.com/x",
         "example.com/index.html": "example.com",
         "//user@example.com:443/?ref=y": "example.com",
         "https://blog.example.com:8080/A?q=%20": "blog.example.com:8080/A?q=%20",
@@ -28,7 +31,7 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     urls = [f"http://h{rng.randrange(50)}.example.com/{i}" for i in range(6000)]
     listed = spark.createDataFrame([(u,) for u in urls[:1000]] * 2, "url string")
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("listed", F.lit("old")).withColumn("block", F.lit(1))
-    for f in (url_filter.Filter(), url_filter.Filter(broadcast_blocks=0)):
+    for f in (url_filter.Filter(), url_filter.Filter(bits_per_url=40)):
         out = url_filter.mark(pages, listed, f)
         assert out.columns == ["page_id", "url", "block", "canonical_url", "possible", "listed"]
         rows = out.collect()
@@ -37,6 +40,13 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
         assert sum(r["possible"] for r in rows) < 1000 + 0.03 * 5000
 
 
+def test_filter_of_pages_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", 1), (2, "http://b.com/", 2)], "page_id long, url string, n long").selectExpr("*", *(f"'{c}' as `{c}`" for c in ("__block", "__w0", "__url", "block", "w0", "key", "__key", "_hash", "possible")))
+    out = url_filter.mark(pages, spark.createDataFrame([("https://www.a.com/x/", 5)], "url string, canonical_url long"))
+    assert out.columns == [*(c for c in pages.columns if c != "possible"), "canonical_url", "possible", "listed"]
+    assert sorted((r["page_id"], r["__block"], r["__url"], r["listed"]) for r in out.collect()) == [(1, "__block", "__url", True), (2, "__block", "__url", False)]
+
+
 def test_filter_odd_rows(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "http://a.com"), (3, "http://a.com"), (None, "a.com/" + "x" * 20000)], "page_id long, url string")
     listed = spark.createDataFrame([("https://www.a.com/",), (None,), ("",)], "url string")
@@ -85,6 +95,29 @@ def test_transactions_in_either_direction(spark):
     assert out["gone"]["response"] is None and out["gone"]["target_uri"] == "u3" and len(out["gone"]["metadata"]) == 1
 
 
+def test_links_are_followed_over_any_number_of_steps(spark):
+    chain = [("r", "response", None)] + [(f"m{k:02}", "metadata", [f"m{k - 1:02}" if k else "r"]) for k in range(30)]
+    lost = [("x1", "request", ["gone"]), ("x2", "metadata", ["x1"]), ("x3", "metadata", ["x2", None, "x3"]), ("x4", "metadata", ["x3"])]
+    # y2 and z2 hang together beyond their captures, and go to the smaller; y1 and z1 stay with what they name
+    both = [("ra", "response", None), ("rb", "response", None), ("y1", "request", ["rb"]), ("z1", "request", ["ra"]), ("y2", "metadata", ["y1"]), ("z2", "metadata", ["z1", "y2"])]
+    through = [("rc", "response", ["hole"]), ("w1", "metadata", ["hole"])]  # both name a record that is not there
+    rows = [(i, t, c, "u", "d", {}, "b") for i, t, c in chain + lost + both + through + [("alone", "warcinfo", None)]]
+    out = {r["capture_id"]: r for r in warc.assemble(spark.createDataFrame(rows, RECORD).repartition(5)).collect()}
+    assert set(out) == {"r", "gone", "ra", "rb", "rc", "alone"}
+    ids = lambda c, k: [x["record_id"] for x in out[c][k]]
+    assert ids("r", "metadata") == [f"m{k:02}" for k in range(30)]
+    assert ids("gone", "requests") == ["x1"] and ids("gone", "metadata") == ["x2", "x3", "x4"] and out["gone"]["response"] is None
+    assert ids("ra", "requests") == ["z1"] and ids("ra", "metadata") == ["y2", "z2"] and ids("rb", "requests") == ["y1"] and ids("rb", "metadata") == []
+    assert ids("rc", "metadata") == ["w1"] and ids("alone", "metadata") == ["alone"]
+
+
+def test_no_record_type_is_dropped(spark):
+    rows = [("v", "revisit", None), ("q", "request", ["v"]), ("s", "resource", None), ("m", "metadata", ["s"]), ("c", "conversion", None), ("i", "warcinfo", ["c"]), ("n", "something", ["q"])]
+    out = {r["capture_id"]: r for r in warc.assemble(spark.createDataFrame([(i, t, c, "u", "d", {"warc-type": t}, "b") for i, t, c in rows], RECORD)).collect()}
+    assert set(out) == {"v", "s", "c"} and [r["record_id"] for r in out["v"]["requests"]] == ["q"] and [r["record_id"] for r in out["v"]["metadata"]] == ["n"]
+    assert [h["v"] for h in out["v"]["response"]["headers"]] == ["revisit"] and [r["record_id"] for r in out["c"]["metadata"]] == ["i"]
+
+
 def test_records_survive_parsing(spark):
     raw = "WARC/1.0\r\nWARC-Type: Response\r\nWARC-Record-ID: <urn:1>\r\nX-Long: one\r\n two\r\nWARC-Concurrent-To: <urn:2>\r\nWARC-Concurrent-To: <urn:3>\r\n\r\nbody\r\n\r\nmore"
     rows = spark.createDataFrame([(raw,), (None,), ("",), ("no record",)], "record string")
@@ -94,7 +127,7 @@ def test_records_survive_parsing(spark):
 
 def test_warc_odd_rows(spark):
     rows = [("r", "response", None, "u", "d", None, "x" * 100_000), ("r", "response", None, "u", "d", None, "x" * 100_000), (None, "request", ["r"], "u", "d", {}, ""), ("q", None, ["r"], "u", "d", {}, ""), ("z", "request", ["z", None], None, None, {}, "")]
-    records = spark.createDataFrame(rows, RECORD).selectExpr("*", "1 as part", "2 as capture_id", "3 as capture")
+    records = spark.createDataFrame(rows, RECORD).selectExpr("*", "1 as part", "2 as capture_id", "3 as capture", "4 as kind", "5 as requests", "6 as a", "7 as root")
     out = {r["capture_id"]: r for r in warc.assemble(records).collect()}
     assert set(out) == {"r", "z"} and len(out["r"]["response"]["block"]) == 100_000 and out["r"]["requests"] == []
     assert warc.assemble(records.limit(0)).collect() == []
