@@ -7,6 +7,7 @@ where they do, the ranges are generated once on the driver and embedded in the p
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -109,7 +110,7 @@ def longest_run(text: Column) -> Column:
     """Length of the longest run of one character."""
     runs = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1+"), F.lit(0))
     single = F.when(text == "", F.lit(0)).otherwise(F.lit(1))
-    return F.greatest(F.coalesce(F.array_max(F.transform(runs, F.length)), single), single).cast("long")
+    return F.greatest(F.array_max(F.transform(runs, F.length)), single).cast("long")
 
 
 def numbers(text: Column) -> Column:
@@ -191,15 +192,29 @@ def text_units(text: Column) -> Column:
     return F.greatest(units, F.lit(1)).cast("long")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it: the optimizer would repeat it at every place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def metrics(text: Column, lang: str) -> Column:
     """All metrics of a text as a struct; they see it with white space normalised."""
-    t = normalize_space(text)
-    return F.struct(
-        t.alias("normalized"),
-        nonspace_len(t).alias("chars"),
-        control_ratio(t).alias("control_ratio"),
-        longest_run(t).alias("repeated_run"),
-        numbers(t).alias("numbers"),
-        script_chars(t, lang).alias("script_chars"),
-        script_ratio(t, lang).alias("script_ratio"),
-    )
+    script = SCRIPT_OF.get(lang)
+
+    def measured(t: Column) -> Column:
+        letters_of = lambda bare: F.struct(_count(bare, letters()).alias("all"), _count(bare, script_letters(script)).alias("own"))
+        found = bind(script_text(t), letters_of) if script else F.struct(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("own"))
+        return bind(
+            found,
+            lambda n: F.struct(
+                t.alias("normalized"),
+                F.length(F.replace(t, F.lit(" "), F.lit(""))).cast("long").alias("chars"),  # no other white space is left
+                control_ratio(t).alias("control_ratio"),
+                longest_run(t).alias("repeated_run"),
+                numbers(t).alias("numbers"),
+                n["all"].alias("script_chars"),
+                F.when(n["all"] > 0, n["own"].cast("double") / n["all"]).alias("script_ratio"),
+            ),
+        )
+
+    return bind(normalize_space(text), measured)

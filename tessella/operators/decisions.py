@@ -206,7 +206,7 @@ class Filtered:
         """Samples of the given labels, in universe order; label partitions prune the read."""
         names = unique_labels(*labels)
         chosen = self.decisions().where(F.col("label").isin(names)).select("sample_index")
-        return self.universe.rows.join(chosen, "sample_index", "left_semi")
+        return self.universe.rows.join(chosen, "sample_index", "left_semi").orderBy("sample_index")
 
     def selection(self, *labels: object) -> U.Selection:
         rows = self.universe.rows.join(self.decisions().select("sample_index", "label"), "sample_index", "left")

@@ -91,7 +91,7 @@ class TextQuality:
         lang = F.col(f"{item}.meta.lang") if has_meta else F.lit(None).cast("string")
         out = samples.withColumn(f"__{self.name}_m", T.metrics(F.coalesce(text, F.lit("")), self.lang))
         flags = _flags([(f"{self.role}_{n}", c) for n, c in findings(text, lang, self.lang, self.profile, m)])
-        out = out.withColumn(f"__{self.name}_f", flags)
+        out = out.withColumn(f"__{self.name}_f", T.bind(flags, lambda f: f))
         f = F.col(f"__{self.name}_f")
         result = F.struct(F.when(F.size(f) > 0, REJECT).otherwise(ACCEPT).alias("label"), f.alias("flags"), m["chars"].alias("chars"), m["control_ratio"].alias("control_ratio"), m["repeated_run"].alias("repeated_run"), m["script_chars"].alias("script_chars"), m["script_ratio"].alias("script_ratio"))
         return out.withColumn(self.name, result).drop(f"__{self.name}_m", f"__{self.name}_f")
@@ -142,8 +142,10 @@ class TranslationQuality:
             out = out.withColumn("__n", N.zh_en(p.source_lang == "zh")(s["normalized"], t["normalized"]))
             source, target, odd = F.col("__n.source"), F.col("__n.target"), F.col("__n.unsupported")
         else:
-            source, target = (F.array_sort(T.number_values(x["numbers"])) for x in (s, t))
+            values = lambda x: F.array_sort(T.number_values(x["numbers"]))
             odd = T.complex_numbers(s["normalized"]) | T.complex_numbers(t["normalized"])
+            out = out.withColumn("__n", T.bind(F.struct(values(s).alias("source"), values(t).alias("target"), odd.alias("odd")), lambda n: n))
+            source, target, odd = F.col("__n.source"), F.col("__n.target"), F.col("__n.odd")
 
         def slots(x: Column) -> Column:
             found = T.placeholders(x["normalized"])
@@ -165,7 +167,7 @@ class TranslationQuality:
             ("number_value_mismatch", some & ~odd & (source != target)),
             ("number_surface_mismatch", some & ~odd & (source == target) & (T.overlap(s["numbers"], t["numbers"]) < 1)),
         ]
-        out = out.withColumn("__flags", _flags(rules)).withColumn("__ratio", ratio)
+        out = out.withColumn("__flags", T.bind(_flags(rules), lambda f: f)).withColumn("__ratio", ratio)
         bad = F.size(F.array_except("__flags", F.array(F.lit("number_surface_mismatch")))) > 0
         result = F.struct(F.when(bad, REJECT).otherwise(ACCEPT).alias("label"), F.col("__flags").alias("flags"), F.col("__ratio").alias("char_ratio"), s["chars"].alias("source_chars"), t["chars"].alias("target_chars"))
         return out.withColumn(self.name, result).drop("__source", "__target", "__n", "__flags", "__ratio")

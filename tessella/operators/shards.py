@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .universe import number_rows
+
 
 def _check(count: int, shard: int) -> None:
     if count < 1 or not 0 <= shard < count:
@@ -47,10 +49,12 @@ def runs(rows: DataFrame, index: str, by: list[str] | None = None, bucket: int =
     part = Window.partitionBy(*by, "__b").orderBy(index)
     marked = rows.select(*by, index).distinct().withColumn("__b", F.floor(F.col(index) / bucket)).withColumn("__g", F.col(index) - F.row_number().over(part))
     pieces = marked.groupBy(*by, "__b", "__g").agg(F.min(index).alias("start"), F.max(index).alias("stop"))
+    at_border = (F.pmod("start", F.lit(bucket)) == 0) | (F.pmod(F.col("stop") + 1, F.lit(bucket)) == 0)  # at most two a bucket: all that can go on
     order = Window.partitionBy(*by).orderBy("start")
     fresh = (F.col("start") != F.lag("stop").over(order) + 1) | F.lag("stop").over(order).isNull()
-    linked = pieces.withColumn("__f", fresh.cast("long")).withColumn("__r", F.sum("__f").over(order))
-    return linked.groupBy(*by, "__r").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(*by, "start", "stop", (F.col("stop") - F.col("start") + 1).alias("count"))
+    linked = pieces.where(at_border).withColumn("__f", fresh.cast("long")).withColumn("__r", F.sum("__f").over(order))
+    joined = linked.groupBy(*by, "__r").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return pieces.where(~at_border).select(*by, "start", "stop").union(joined.select(*by, "start", "stop")).withColumn("count", F.col("stop") - F.col("start") + 1)
 
 
 def steps(rows: DataFrame, index: str, by: list[str]) -> DataFrame:
@@ -99,10 +103,17 @@ def shuffle_groups(groups: list[int], sizes: list[int], seed: int, epoch: int, r
     return out
 
 
-def rank_trim(rows: DataFrame, rank: Column, batch: Column) -> DataFrame:
-    """Batches that every rank has: those beyond the shortest rank's go; a rank without any beside others with some is an error."""
+def rank_trim(rows: DataFrame, rank: Column, batch: Column, ranks: int | None = None) -> DataFrame:
+    """Batches that every rank has: those beyond the shortest rank's go.
+
+    ``ranks``: there should be the ranks 0 .. ranks - 1; if some have batches, one without any is an error, as every rank would end with none."""
     marked = rows.withColumn("__rank", rank).withColumn("__batch", batch)
-    least = marked.groupBy("__rank").agg((F.max("__batch") + 1).alias("__n")).agg(F.min("__n").alias("__least"))
+    counts = marked.groupBy("__rank").agg((F.max("__batch") + 1).alias("__n"))
+    if ranks is not None:
+        have = {r[0] for r in counts.where(F.col("__rank").between(0, ranks - 1)).select("__rank").collect()}
+        if have and (lost := sorted(set(range(ranks)) - have)):
+            raise ValueError(f"ranks {lost} have no batch, others have")
+    least = counts.agg(F.min("__n").alias("__least"))
     return marked.join(F.broadcast(least)).where("__batch < __least").drop("__rank", "__batch", "__least")
 
 
@@ -138,3 +149,55 @@ def guard_reject_ratio(rows: DataFrame, maximum: float = 0.2, window: int = 200,
     bad = rolling_reject_ratio(rows, window, index, accepted).where((F.col(index) >= window - 1) & (F.col("reject_ratio") >= maximum)).agg(F.min(index)).first()[0]
     if bad is not None:
         raise RuntimeError(f"too many rejected rows before index {bad}; filter first instead")
+
+
+def selected_groups(positions: DataFrame, seed: int, epoch: int, replicas: int = 1, rank: int = 0, size: int = 4096) -> DataFrame:
+    """(group_order, group, rank_order, position, sample_index): the shuffle groups of a universe carried over to the positions of a selection.
+
+    ``positions`` has (sample_index, position) of the selected samples.  Groups come in their shuffled order, rows in theirs; a rank has every
+    ``replicas``-th of the flattened rows.  Only the groups, which are few, are ordered as a whole; rows are ordered within their group.
+    """
+    _check(replicas, rank)
+    rows = positions.select("sample_index", "position", group_of(F.col("sample_index"), size).alias("group"))
+    group_key, row_key = F.xxhash64(F.lit(seed), F.lit(epoch), F.col("group")), F.xxhash64(F.lit(seed), F.lit(epoch), F.col("group"), F.col("sample_index"))
+    counts = number_rows(rows.groupBy("group").agg(F.count("*").alias("__n")).withColumn("__key", group_key), ["__key", "group"], "group_order")
+    offsets = prefix_sums(counts, "group_order", "__n", "__before").select("group", "group_order", "__before")
+    within = F.row_number().over(Window.partitionBy("group").orderBy(row_key, "sample_index")) - 1
+    placed = rows.withColumn("__k", within).join(offsets, "group").withColumn("__flat", F.col("__before") + F.col("__k"))
+    mine = placed.where(F.pmod("__flat", F.lit(replicas)) == rank)
+    return mine.select("group_order", "group", F.col("__flat").alias("rank_order"), "position", "sample_index")
+
+
+def prefix_sums(rows: DataFrame, index: str, value: str, name: str = "before", block: int = 1 << 16) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all smaller values of the dense ``index``: blocks are summed first, and each on its own."""
+    blocks = rows.groupBy(F.floor(F.col(index) / block).alias("__b")).agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("__b", before.alias("__start"))  # one row for each ``block`` rows
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__b").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__b", F.floor(F.col(index) / block)).withColumn("__in", inside).join(starts, "__b").withColumn(name, F.col("__start") + F.col("__in")).drop("__b", "__in", "__start")
+
+
+def check_shard_output(rows: DataFrame, shards: int, shard: int, total: int | None = None, index: str = "sample_index") -> int:
+    """Number of rows of one shard's output; raises unless its indexes are shard, shard + shards, .. each once, all of them below ``total`` if that is known."""
+    _check(shards, shard)
+    i = F.col(index)
+    n, distinct, wrong, high = rows.agg(F.count("*"), F.countDistinct(index), F.count_if(i.isNull() | (F.pmod(i, F.lit(shards)) != shard) | (i < 0)), F.max(index)).first()
+    expected = n if total is None else max(0, -(-(total - shard) // shards))
+    if wrong or distinct != n or n != expected or (n and high != shard + (n - 1) * shards):
+        raise ValueError(f"shard {shard} of {shards}: {n} rows for {expected}, {distinct} distinct, {wrong} of other shards, up to {high}")
+    return n
+
+
+def worker_summary(stats: DataFrame, operation: str = "filter") -> DataFrame:
+    """One row of sums, extremes and rates over rows (samples, calls, seconds, batch_size_min, batch_size_max, elapsed_seconds) of workers."""
+    mean = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b)).otherwise(0.0)
+    return stats.agg(
+        F.count("*").alias("worker_count"),
+        *(F.sum(c).alias(f"{operation}_{c}") for c in ("samples", "calls", "seconds")),
+        F.min("batch_size_min").alias("batch_size_min"),
+        F.max("batch_size_max").alias("batch_size_max"),
+        mean("samples", "calls").alias("batch_size_mean"),
+        mean("samples", "seconds").alias(f"{operation}_samples_per_second"),
+        F.sum("elapsed_seconds").alias("elapsed_seconds_sum"),
+        F.max("elapsed_seconds").alias("elapsed_seconds_max"),
+    )

@@ -51,6 +51,34 @@ def grid_axes(cells: DataFrame, roles: Sequence[str], index: str = "sample_index
     return cells
 
 
+def check_blocks(cells: DataFrame, roles: Sequence[str], index: str = "sample_index") -> DataFrame:
+    """``cells``, or an error unless they are consecutive blocks of one source each with exactly ``roles`` in this order, no source having two blocks."""
+    if len(set(roles)) < len(roles):
+        raise ValueError("a role repeats")
+    block = cells.withColumn("__block", F.floor(F.col(index) / len(roles))).groupBy("__block")
+    told = block.agg(F.countDistinct("source_index").alias("sources"), F.min("source_index").alias("source"), F.transform(F.sort_array(F.collect_list(F.struct(index, "role"))), lambda x: x["role"]).alias("order"))
+    bad = told.where((F.col("sources") != 1) | (F.col("order") != F.array(*map(F.lit, roles)))).orderBy("__block").limit(1).collect()
+    if bad:
+        raise ValueError(f"block {bad[0]['__block']} has {bad[0]['sources']} sources and roles {bad[0]['order']}, not {list(roles)}")
+    twice = told.groupBy("source").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"source {twice[0]['source']} has several blocks")
+    return cells
+
+
+def shared_view(cells: DataFrame, item: str, usable: Sequence[str], requested: str | None = None) -> str:
+    """The one view of ``usable`` that all cells have (not null); or ``requested``, if they have it."""
+    names = [f.name for f in cells.schema[item].dataType["views"].dataType.fields]
+    wanted = [requested] if requested else [v for v in usable if v in names]
+    if missing := [v for v in wanted if v not in names]:
+        raise ValueError(f"no cell has view {missing[0]}")
+    total, *have = cells.agg(F.count("*"), *(F.count(f"{item}.views.{v}") for v in wanted)).first()
+    common = [v for v, n in zip(wanted, have) if n == total]
+    if not total or len(common) != 1:
+        raise ValueError(f"cells must share one view, they share {common}" if total else "no cell is selected")
+    return common[0]
+
+
 def grid_select(cells: DataFrame, sources: Sequence[int] | None = None, roles: Sequence[str] | None = None, speakers: Sequence[str] | None = None) -> DataFrame:
     """Cells on the given axes values: filters that reach the scan."""
     for name, values in (("source_index", sources), ("role", roles), ("speaker_id", speakers)):

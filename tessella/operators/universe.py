@@ -169,6 +169,12 @@ def rebase(decisions: DataFrame, source: DataFrame, target: DataFrame) -> DataFr
     return both.join(decisions.withColumnRenamed("sample_index", "__from"), "__from", "left").select(F.col("__to").alias("sample_index"), "label")
 
 
+def rebase_selection(selection: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """(sample_index, selected) over ``target`` of a selection over ``source``: true, false and unknown move with their samples."""
+    moved = rebase(selection.select("sample_index", F.col("selected").alias("label")), source, target)
+    return moved.select("sample_index", F.col("label").alias("selected"))
+
+
 def project(decisions: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """As :func:`rebase`, but ``target`` may be a part of ``source``."""
     left = source.select("sample_id", F.col("sample_index").alias("__from"))
@@ -197,6 +203,29 @@ def merge_live(decided: DataFrame, chunk: DataFrame) -> DataFrame:
     return both.select("sample_index", F.when(F.col("__n") <= 1, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("conflicting decisions of sample "), F.col("sample_index").cast("string")))).alias("label"))
 
 
+def finish_live(decided: DataFrame, total: int) -> DataFrame:
+    """``decided``, or an error unless it has a label for each of the samples 0 .. total - 1: the end of a live selection."""
+    n, low, high = decided.where("label is not null").agg(F.countDistinct("sample_index"), F.min("sample_index"), F.max("sample_index")).first()
+    if n != total or (n and (low != 0 or high != total - 1)):
+        raise ValueError(f"live decisions are incomplete: {n} of {total} samples, from {low} to {high}")
+    return decided
+
+
+def deep_equal(left: Column, right: Column) -> Column:
+    """Whether two values are alike through all their structs and arrays: nulls equal nulls, NaN equals NaN, 0.0 equals -0.0."""
+    return left.eqNullSafe(right)
+
+
+def differing(left: DataFrame, right: DataFrame, key: str = "sample_index") -> DataFrame:
+    """(key, columns): samples that differ, and in which columns; one that is on one side only differs in all of them."""
+    names = sorted((set(left.columns) | set(right.columns)) - {key})
+    side = lambda d, p: d.select(F.col(key), F.struct(*(F.col(c) if c in d.columns else F.lit(None).alias(c) for c in names)).alias(p))
+    both = side(left, "__l").join(side(right, "__r"), key, "full_outer")
+    alone = F.col("__l").isNull() | F.col("__r").isNull()
+    parts = [F.when(alone | ~deep_equal(F.col(f"__l.{c}"), F.col(f"__r.{c}")), F.lit(c)) if c in left.columns and c in right.columns else F.lit(c) for c in names]
+    return both.select(key, F.array_compact(F.array(*parts)).alias("columns")).where(F.size("columns") > 0)
+
+
 def combine(left: DataFrame, right: DataFrame, key: str = "sample_index") -> DataFrame:
     """One row of two: items of both; an item on both sides merges its views (the same view twice is an error) and meta (equal values may repeat)."""
     refs = [c for c in left.columns if c != key and c in right.columns]

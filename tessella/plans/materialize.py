@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -156,6 +157,26 @@ def completed_prefix(done: DataFrame, index: str = "sample_index") -> int:
     return rest if rest is not None else lo + block
 
 
+def write_bounded(samples: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, max_new_samples: int | None = None, sample_indexes: Sequence[int] | None = None, finalize: bool = True) -> int:
+    """Make and append to ``path`` what is still to do, as a whole or within the limits; returns how many samples are left.
+
+    Limits need ``finalize=False``.  A run that finalizes raises if something is left.  What is there already stays, so a run that ended early goes on where it ended.
+    """
+    if finalize and (max_new_samples is not None or sample_indexes is not None):
+        raise ValueError("a limited run can't finalize")
+    spark = samples.sparkSession
+    try:
+        done = spark.read.parquet(path).select("sample_index")
+    except AnalysisException:
+        done = None
+    todo = samples if sample_indexes is None else samples.where(F.col("sample_index").isin(sorted(set(sample_indexes))))
+    make(bounded(todo, done, max_new_samples)).write.mode("append").parquet(path)
+    left = samples.join(spark.read.parquet(path).select("sample_index"), "sample_index", "left_anti").count()
+    if finalize and left:
+        raise ValueError(f"{left} samples have no result")
+    return left
+
+
 def bounded(samples: DataFrame, done: DataFrame | None, max_new_samples: int | None) -> DataFrame:
     """Samples that are still to do, the first ``max_new_samples`` of them."""
     rest = samples if done is None else samples.join(done.select("sample_index"), "sample_index", "left_anti")

@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.universe import identity
+from ..operators.universe import identity, number_rows
 from .files import lock, write_json
 
 FAMILY = "slot string, row long, sequence long, language string, speaker_id string"
@@ -117,9 +117,7 @@ def admit(config: Config, state: State, lengths: dict[str, int], limit: int, all
         quota = F.create_map(*(F.lit(x) for kv in allowed.items() for x in kv))
         rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("language").orderBy("turn", "place"))).where(F.col("__k") <= F.element_at(quota, F.col("language"))).drop("__k")
     total = state.families.count() if state.families is not None else 0
-    chosen = rows.orderBy("turn", "place").limit(limit)
-    # at most ``limit`` rows, numbered by one bounded sort
-    out = chosen.withColumn("sequence", F.row_number().over(Window.orderBy("turn", "place")) - 1 + total)
+    out = number_rows(rows, ["turn", "place"], "sequence").where(F.col("sequence") < limit).withColumn("sequence", F.col("sequence") + total)
     last = out.orderBy(F.desc("sequence")).select("at").first()
     cursors = dict(state.cursors)
     for r in out.groupBy("slot").agg(F.max("row").alias("row")).collect():
@@ -315,6 +313,23 @@ class Stage:
         return spark.read.parquet(*(str(p) for p in sorted(self.home.glob("output-*"))))
 
 
+#: Stages of a synthesis and what each takes its input from.
+UPSTREAM = {"translation": "source", "speech": "translation"}
+
+
+def check_chain(child: dict, parent: dict) -> None:
+    """Raises unless ``child``, a stage's snapshot manifest, was made of exactly the snapshot that ``parent`` describes."""
+    if (want := UPSTREAM.get(child["stage"])) is None:
+        raise ValueError(f"stage {child['stage']!r} has no upstream")
+    if parent["stage"] != want:
+        raise ValueError(f"stage {child['stage']!r} follows {want!r}, not {parent['stage']!r}")
+    if (child["upstream_snapshot"], child["upstream_digest"]) != (parent["snapshot"], parent["digest"]):
+        raise ValueError("the upstream snapshot is another than the parent")
+    for name in ("lineage", "revision", "config_revision", "sources", "pairs", "coverage"):
+        if child[name] != parent[name]:
+            raise ValueError(f"{name} differs from the upstream's: {child[name]!r}, {parent[name]!r}")
+
+
 def toy_sources(spark: SparkSession, rows: int, languages: tuple[str, ...]) -> DataFrame:
     """Samples of the source schema without any model: text and a short tone."""
     tone = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.sin(i * (F.col("id") % 7 + 1) / 4).cast("float"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -40,8 +42,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share: the cluster's, or one of our own where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A folder that all executors share: the cluster's, or in local mode, where there is one machine, one of our own if it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.gettempdir()
     return f"{base.removeprefix('file://')}/tessella-{name}-{uuid.uuid4().hex}"
 
 
@@ -75,10 +80,17 @@ _METRICS = rf"""{_NORM}, {_RUNS},
         length({_BARE}) - length(regexp_replace({_BARE}, '\p{{Latin}}', '', 'g')) AS latin FROM norm)"""
 
 
-@query(rf"""WITH {_METRICS} SELECT doc_id, chars, 0.0::DOUBLE AS control_ratio, coalesce(repeated_run, 0) AS repeated_run, n_numbers, script_chars,
-    round(latin::DOUBLE / nullif(script_chars, 0), 9) AS script_ratio FROM m LEFT JOIN runs USING (doc_id)""")
+_ODD_TEXT = "CASE WHEN doc_id % 3 = 0 THEN text || chr(8203) || chr(7) || chr(173) ELSE text END"
+_ODD_METRICS = _METRICS.replace("FROM documents)", f"FROM (SELECT doc_id, lang, {_ODD_TEXT} AS text FROM documents))")
+
+
+@query(rf"""WITH {_ODD_METRICS} SELECT doc_id, chars, round((length(n) - length(regexp_replace(n, '[\p{{Cc}}\p{{Cf}}\p{{Co}}]', '', 'g')))::DOUBLE / length(n), 9) AS control_ratio, coalesce(repeated_run, 0) AS repeated_run, n_numbers, script_chars,
+    round(latin::DOUBLE / nullif(script_chars, 0), 9) AS script_ratio FROM m LEFT JOIN runs USING (doc_id) JOIN norm USING (doc_id)""")
 def text_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "documents").select("doc_id", T.metrics(F.col("text"), "en").alias("m"))
+    """All documents, every third with three characters of the control categories at its end."""
+    odd = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\u200b\x07\xad"))).otherwise(F.col("text"))
+    m = table(spark, sf, "documents").select("doc_id", T.metrics(odd, "en").alias("m"))
+    m = m.withColumn("m", F.col("m").withField("control_ratio", F.round("m.control_ratio", 9)))
     return m.select("doc_id", "m.chars", "m.control_ratio", "m.repeated_run", F.size("m.numbers").cast("long").alias("n_numbers"), "m.script_chars", F.round("m.script_ratio", 9).alias("script_ratio"))
 
 
@@ -207,6 +219,31 @@ def project_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return universe.project(rows.select("sample_index", "label"), rows, target)
 
 
+@query(f"""WITH {_LAB}, n AS (SELECT *, row_number() OVER (ORDER BY n_chars, sample_index) - 1 AS k FROM lab) SELECT k AS sample_index, (label IN ('good', 'toxic')) AND lang = 'en' AS selected FROM n""")
+def rebase_selection(spark: SparkSession, sf: str) -> DataFrame:
+    s = _selection(spark, sf)
+    rows = s.universe.withColumn("sample_id", F.col("sample_index").cast("string"))
+    target = universe.number_rows(rows.select("sample_id", "n_chars", F.col("sample_index").alias("old")), ["n_chars", "old"]).select("sample_id", "sample_index")
+    return universe.rebase_selection(rows.select("sample_index", s.selected.alias("selected")), rows, target)
+
+
+@query("""SELECT doc_id AS sample_index, array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'lang' END, CASE WHEN doc_id % 7 = 0 THEN 'parts' END, CASE WHEN doc_id % 11 = 0 THEN 'text' END], lambda x: x IS NOT NULL), ',') AS columns
+    FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0""")
+def deep_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents against a version of which some fields, nested ones too, are changed or nulled."""
+    left = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_index"), "lang", "text", F.struct("n_chars", F.array("source", F.lit(None)).alias("x")).alias("parts"))
+    every = lambda k: F.col("sample_index") % k == 0
+    parts = F.col("parts").withField("x", F.when(every(7), F.array(F.lit(None), F.col("parts.x")[0])).otherwise(F.col("parts.x")))
+    right = left.select("sample_index", F.when(every(5), "xx").otherwise(F.col("lang")).alias("lang"), F.when(~every(11), F.col("text")).alias("text"), parts.alias("parts"))
+    return universe.differing(left, right).select("sample_index", F.array_join("columns", ",").alias("columns"))
+
+
+@query("""SELECT doc_id AS sample_index, '[[["default","text"],{"lang":"' || lang || '","source_index":' || doc_id || '}]]' AS items FROM documents""")
+def items_json(spark: SparkSession, sf: str) -> DataFrame:
+    rows = texts(spark, sf)
+    return rows.select("sample_index", S.items_json(rows).alias("items"))
+
+
 @query("SELECT o_orderkey AS global_index, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_index FROM orders WHERE o_orderstatus = 'F'")
 def index_selection(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "sample_index")
@@ -243,6 +280,42 @@ def runtime_shards(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query("SELECT event_id % 5 AS shard, count(*) AS n FROM events GROUP BY 1")
+def shard_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each of five shards checked to be whole and dense, and its number of rows."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("sample_index"))
+    total = rows.count()
+    found = [(k, shards.check_shard_output(shards.modulo_shard(rows, 5, k), 5, k, total)) for k in range(5)]
+    return spark.createDataFrame(found, "shard long, n long")
+
+
+@query("SELECT doc_id AS sample_index, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS before FROM documents")
+def prefix_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters before each document."""
+    return shards.prefix_sums(table(spark, sf, "documents").select(F.col("doc_id").alias("sample_index"), "n_chars"), "sample_index", "n_chars", block=256).select("sample_index", "before")
+
+
+@query(f"""WITH {_LAB}, p AS (SELECT sample_index, row_number() OVER (ORDER BY sample_index) - 1 AS position FROM lab WHERE lang = 'en')
+    SELECT sample_index, position, sample_index // 256 AS "group", dense_rank() OVER (ORDER BY sample_index // 256) AS n_groups FROM p""")
+def selected_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Shuffle groups over a selection's positions (SQL knows which rows are together, tests know the order)."""
+    chosen = universe.Selection(_label(spark, sf), (F.col("lang") == "en",)).rows().select("sample_index", "position")
+    out = shards.selected_groups(chosen, 7, 0, size=256)
+    rank = universe.number_rows(out.select("group").distinct(), ["group"], "n_groups").withColumn("n_groups", F.col("n_groups") + 1)
+    return out.join(rank, "group").select("sample_index", F.col("position").cast("long").alias("position"), "group", "n_groups")
+
+
+@query("""WITH w AS (SELECT user_id, count(*) AS s, count(DISTINCT event_type) AS c, sum(value) AS t, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id)
+    SELECT count(*) AS worker_count, sum(s)::BIGINT AS filter_samples, sum(c)::BIGINT AS filter_calls, round(sum(t), 2) AS filter_seconds, min(lo) AS batch_size_min, max(hi) AS batch_size_max, round(sum(s) / sum(c), 6) AS batch_size_mean,
+    round(sum(s) / sum(t), 6) AS filter_samples_per_second, round(sum(t), 2) AS elapsed_seconds_sum, round(max(t), 2) AS elapsed_seconds_max FROM w""")
+def worker_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Users of the events as workers."""
+    w = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("samples"), F.countDistinct("event_type").alias("calls"), F.sum("value").alias("seconds"), F.min("event_id").alias("batch_size_min"), F.max("event_id").alias("batch_size_max"))
+    out = shards.worker_summary(w.withColumn("elapsed_seconds", F.col("seconds")))
+    places = {"filter_seconds": 2, "elapsed_seconds_sum": 2, "elapsed_seconds_max": 2, "batch_size_mean": 6, "filter_samples_per_second": 6}
+    return out.select(*(F.round(c, places[c]).alias(c) if c in places else c for c in out.columns))
+
+
 @query("SELECT event_id AS sample_index FROM events WHERE event_type <> 'click'")
 def missing_indexes(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events")
@@ -459,22 +532,34 @@ def snapshot_segments(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.read(spark)
 
 
+@query("SELECT event_id AS sample_index, value * 3 AS tripled FROM events")
+def bounded_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """All events derived by two limited runs and one that finalizes."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("sample_index"), "value")
+    path, n = scratch(spark, "bounded"), rows.count()
+    make = lambda d: d.select("sample_index", (F.col("value") * 3).alias("tripled"))
+    materialize.write_bounded(rows, make, path, max_new_samples=n // 2, finalize=False)
+    materialize.write_bounded(rows, make, path, sample_indexes=[n - 1, n - 2], finalize=False)
+    materialize.write_bounded(rows, make, path)
+    return spark.read.parquet(path)
+
+
 @query("SELECT coalesce(min(event_id), (SELECT count(*) FROM events)) AS prefix FROM events WHERE event_type = 'purchase'")
 def completed_prefix(spark: SparkSession, sf: str) -> DataFrame:
     done = table(spark, sf, "events").where("event_type <> 'purchase'").withColumnRenamed("event_id", "sample_index")
     return spark.createDataFrame([(materialize.completed_prefix(done),)], "prefix long")
 
 
-def _growth(spark: SparkSession, sf: str, languages: tuple[str, ...] = LANGS[:3]) -> tuple[synthesis.Config, dict[str, int]]:
+def _growth(spark: SparkSession, sf: str, languages: tuple[str, ...] = LANGS) -> tuple[synthesis.Config, dict[str, int]]:
     counts = {r["lang"]: r["count"] for r in table(spark, sf, "documents").groupBy("lang").count().collect()}
     config = synthesis.Config(languages, tuple(synthesis.Slot(f"{x}-docs", x) for x in languages), VOICES, initial_sources=60, interval_sources=25)
     return config, {f"{x}-docs": counts.get(x, 0) for x in languages}
 
 
-def _adm(limit: int, langs: tuple[str, ...] = LANGS[:3]) -> str:
+def _adm(limit: int | None = None, langs: tuple[str, ...] = LANGS) -> str:
     rows = " UNION ALL ".join(f"SELECT '{x}-docs' AS slot, '{x}' AS language, {k} AS place, unnest(range((SELECT count(*) FROM documents WHERE lang = '{x}'))) AS row" for k, x in enumerate(langs))
     return f"""fam AS (SELECT slot, language, row, row_number() OVER (ORDER BY row, place) - 1 AS sequence,
-        ['Ryan', 'Vivian', 'Ada'][((('0x' || substr(sha256('7:0:' || slot || ':' || row), 1, 16))::UBIGINT) % 3)::INT + 1] AS speaker_id FROM ({rows}) QUALIFY row_number() OVER (ORDER BY row, place) <= {limit}),
+        ['Ryan', 'Vivian', 'Ada'][((('0x' || substr(sha256('7:0:' || slot || ':' || row), 1, 16))::UBIGINT) % 3)::INT + 1] AS speaker_id FROM ({rows}) {f"QUALIFY row_number() OVER (ORDER BY row, place) <= {limit}" if limit else ""}),
     tgt AS (SELECT * FROM (VALUES {', '.join(f"('{x}', {k})" for k, x in enumerate(langs))}) t(target_language, k)),
     pr AS (SELECT slot || ':' || row || '->' || target_language AS pair_id, slot AS source_slot, row AS source_row, sequence AS source_sequence, language AS source_language, target_language, speaker_id,
         row_number() OVER (PARTITION BY sequence ORDER BY k) = 1 AS first_for_source FROM fam, tgt WHERE target_language <> language)"""
@@ -487,10 +572,10 @@ def growth_initial(spark: SparkSession, sf: str) -> DataFrame:
     return synthesis.plan_growth(config, lengths, spark).families
 
 
-@query(f"""WITH {_adm(60)} SELECT slot, row, 'es' AS target_language, sequence AS source_sequence, false AS first_for_source FROM fam WHERE sequence < 25""")
+@query(f"""WITH {_adm(60, LANGS[:3])} SELECT slot, row, 'es' AS target_language, sequence AS source_sequence, false AS first_for_source FROM fam WHERE sequence < 25""")
 def growth_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """A language is declared: the pairs with it that are made up for first."""
-    config, lengths = _growth(spark, sf)
+    config, lengths = _growth(spark, sf, LANGS[:3])
     state = synthesis.plan_growth(config, lengths, spark).state
     wider, more = _growth(spark, sf, LANGS)
     grown = synthesis.plan_growth(wider, more, spark, state)
@@ -499,12 +584,14 @@ def growth_backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Pair records of every document: the first plan takes all sources, so growth is idle after it."""
     config, lengths = _growth(spark, sf)
+    config = dataclasses.replace(config, initial_sources=max(1, sum(lengths.values())))
     grown = synthesis.plan_growth(config, lengths, spark)
     return synthesis.pair_records(grown.families, grown.pairs)
 
 
-@query(f"WITH {_adm(60)} SELECT * FROM pr")
+@query(f"WITH {_adm()} SELECT * FROM pr")
 def pair_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Pair records published and read again."""
     catalog = synthesis.PairCatalog(scratch(spark, "pairs"))
@@ -513,17 +600,17 @@ def pair_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.read(spark)
 
 
-@query(f"WITH {_adm(60)} SELECT source_sequence, source_slot, source_row, source_language, speaker_id, (SELECT string_agg(x.target_language, ',' ORDER BY t.k) FROM pr x JOIN tgt t USING (target_language) WHERE x.source_sequence = pr.source_sequence) AS targets, target_language AS first_target FROM pr WHERE first_for_source")
+@query(f"WITH {_adm()}, told AS (SELECT source_sequence, string_agg(target_language, ',' ORDER BY k) AS targets FROM pr JOIN tgt USING (target_language) GROUP BY source_sequence) SELECT source_sequence, source_slot, source_row, source_language, speaker_id, targets, target_language AS first_target FROM pr JOIN told USING (source_sequence) WHERE first_for_source")
 def pair_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return synthesis.summarize(_records(spark, sf), LANGS[:3]).withColumn("targets", F.array_join("targets", ","))
+    return synthesis.summarize(_records(spark, sf), LANGS).withColumn("targets", F.array_join("targets", ","))
 
 
-@query(f"WITH {_adm(60)} SELECT DISTINCT source_slot, source_row, source_sequence, source_language, speaker_id FROM pr WHERE target_language IN ('en', 'de')")
+@query(f"WITH {_adm()} SELECT DISTINCT source_slot, source_row, source_sequence, source_language, speaker_id FROM pr WHERE target_language IN ('en', 'de')")
 def pair_sources(spark: SparkSession, sf: str) -> DataFrame:
     return synthesis.view(_records(spark, sf), "sources", target_languages=["en", "de"])
 
 
-@query(f"WITH {_adm(60)} SELECT source_language, target_language, count(*) AS pairs, count(DISTINCT source_sequence) AS sources FROM pr GROUP BY ALL")
+@query(f"WITH {_adm()} SELECT source_language, target_language, count(*) AS pairs, count(DISTINCT source_sequence) AS sources FROM pr GROUP BY ALL")
 def catalog_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return synthesis.coverage(_records(spark, sf))
 
@@ -535,22 +622,31 @@ def lang_remap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", S.remap_lang(odd).alias("lang"))
 
 
-@query("SELECT vec_id, len(embedding) // 2 AS n, round(((embedding[1]::DOUBLE + embedding[33]::DOUBLE) / 2)::FLOAT::DOUBLE, 6) AS first FROM embeddings")
+_RESAMPLED = """WITH w AS (SELECT vec_id, list_transform(range(1, 33), lambda i: ((embedding[i]::DOUBLE + embedding[i + 32]::DOUBLE) / 2)::FLOAT) AS v FROM embeddings),
+    t AS (SELECT vec_id, v, rate, m, unnest(range(m)) AS i FROM w, (VALUES (12, 24), (16, 32), (24, 48), (11, 22)) r(rate, m)),
+    p AS (SELECT *, least(i::DOUBLE * 16 / rate, 31.0::DOUBLE) AS x FROM t),
+    q AS (SELECT *, floor(x)::INT AS lo, least(floor(x)::INT + 1, 31) AS hi, x - floor(x) AS part FROM p)
+    SELECT vec_id, rate, i AS position, round((v[lo + 1]::DOUBLE * (1 - part) + v[hi + 1]::DOUBLE * part)::FLOAT::DOUBLE, 6) AS value FROM q"""
+
+
+@query(_RESAMPLED)
 def mono_resample(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as two channels of 32 samples: their mean."""
+    """Embeddings as two channels of 32 samples at rate 16: their mean, at lower, the same and higher rates, every sample of it."""
     wave = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
-    m = A.mono(wave)
-    return table(spark, sf, "embeddings").select("vec_id", F.size(m).cast("long").alias("n"), F.round(A.resample(m, F.lit(16), F.lit(16))[0].cast("double"), 6).alias("first"))
+    rows = table(spark, sf, "embeddings").select("vec_id", A.mono(wave).alias("m"), F.explode(F.array(*(F.lit(r).cast("long") for r in (11, 12, 16, 24)))).alias("rate"))
+    each = rows.select("vec_id", "rate", F.posexplode(A.resample(F.col("m"), F.lit(16), F.col("rate"))).alias("position", "value"))
+    return each.select("vec_id", "rate", F.col("position").cast("long").alias("position"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-@query()
+@query('SELECT l_orderkey, l_linenumber, l_orderkey // 4096 AS "group" FROM lineitem')
 def shuffled_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """All lineitem rows in a seeded order of groups and of rows in them."""
+    """All lineitem rows in a seeded order of groups and of rows in them (SQL knows the rows, tests know the order)."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").withColumn("group", F.floor(F.col("l_orderkey") / 4096))
     return rows.orderBy(*shards.shuffle_order(rows, 7, 0, "group", "l_orderkey"), "l_linenumber")
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), t AS (SELECT doc_id, len(list_distinct(w))::DOUBLE / greatest(len(w), 1) AS score FROM s)
+    SELECT doc_id AS sample_index, CASE WHEN score >= 0.6 THEN 'accept' ELSE 'reject' END AS label, round(score, 9) AS score FROM t""")
 def model_score(spark: SparkSession, sf: str) -> DataFrame:
     """A scorer UDF over all documents (toy model: share of distinct words)."""
 
@@ -558,5 +654,5 @@ def model_score(spark: SparkSession, sf: str) -> DataFrame:
         return lambda b: [len(set(x.split())) / max(1, len(x.split())) for x in b["c0"]]
 
     out = quality.ModelScore(factory, ("default_text.views.text",))(texts(spark, sf))
-    return out.select("sample_index", "model_score.label", "model_score.score")
+    return out.select("sample_index", "model_score.label", F.round("model_score.score", 9).alias("score"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -109,6 +110,36 @@ def select(samples: DataFrame, schema: Schema, keep: tuple[str, ...] = ("sample_
     return samples.select(*columns)
 
 
+def items_json(samples: DataFrame) -> Column:
+    """A sample's items as manifests have them, ``[[[role, modality], meta], ..]`` in the order of the columns; null items are left out."""
+    out = []
+    for f in samples.schema.fields:
+        try:
+            role, modality = parse_ref(f.name)
+        except ValueError:
+            continue
+        meta = F.to_json(F.col(f"{f.name}.meta")) if "meta" in f.dataType.names else F.lit("{}")
+        out.append(F.when(F.col(f.name).isNotNull(), F.concat(F.lit(f'[["{role.value}","{modality.value}"],'), F.coalesce(meta, F.lit("{}")), F.lit("]"))))
+    return F.concat(F.lit("["), F.array_join(F.array_compact(F.array(*out)), ","), F.lit("]"))
+
+
+def parse_items(text: str) -> dict[str, dict]:
+    """(item, meta) of such a text; raises ValueError if it is of another shape."""
+    items = json.loads(text)
+    if not isinstance(items, list):
+        raise ValueError("items must be an array")
+    out = {}
+    for entry in items:
+        if not (isinstance(entry, list) and len(entry) == 2 and isinstance(entry[0], list) and len(entry[0]) == 2 and isinstance(entry[1], dict)):
+            raise ValueError(f"an item must be [[role, modality], meta]: {entry!r}")
+        name = ref(*entry[0])
+        parse_ref(name)
+        if name in out:
+            raise ValueError(f"item {name} repeats")
+        out[name] = entry[1]
+    return out
+
+
 def remap_lang(value: Column, remap: dict[str, str] | None = None) -> Column:
     """Language code: stripped, lower case, ``_`` as ``-``; looked up whole, then by its base tag; an unknown one is an error."""
     table = {lang: lang for lang in LANGS} | {k.lower().replace("_", "-"): v for k, v in (remap or {}).items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import shutil
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,7 +107,7 @@ def prepare(spark: SparkSession, files: list[str], target: str, sep: str = ",")
         new, done = {}, []
         for k, path in enumerate(files):
             stamp = _stamp(path)
-            part = f"part-{k:05d}-{abs(hash((path, canonical(stamp)))):x}"
+            part = f"part-{k:05d}-{hashlib.sha256(canonical([path, stamp]).encode()).hexdigest()[:16]}"
             if path in old and old[path]["stamp"] == stamp and (home / old[path]["part"] / "_SUCCESS").exists():
                 new[path] = old[path]
                 continue
@@ -115,6 +117,8 @@ def prepare(spark: SparkSession, files: list[str], target: str, sep: str = ",")
             new[path] = {"stamp": stamp, "part": part}
             done.append(path)
         write_json(manifest, new)
+        for part in {x["part"] for x in old.values()} - {x["part"] for x in new.values()}:
+            shutil.rmtree(home / part, ignore_errors=True)
         return done
 
 

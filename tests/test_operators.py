@@ -270,3 +270,75 @@ def test_numbers_are_dense_beyond_the_sample(spark, aqe):
         assert wrong == 0 and all(x["hi"] + 1 == y["lo"] for x, y in zip(edges, edges[1:]))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_shard_outputs_are_checked(spark):
+    rows = spark.createDataFrame([(k,) for k in range(1, 20, 4)], "sample_index long")
+    assert H.check_shard_output(rows, 4, 1) == 5 and H.check_shard_output(rows, 4, 1, 18) == 5
+    for bad, total in ((rows, 22), (rows, 17), (rows.union(rows.limit(1)), 18), (rows.where("sample_index <> 5"), None), (rows.withColumn("sample_index", F.col("sample_index") + 1), 18)):
+        with pytest.raises(ValueError):
+            H.check_shard_output(bad, 4, 1, total)
+    assert H.check_shard_output(rows.limit(0), 4, 1, 1) == 0
+
+
+def test_a_rank_without_batches_is_an_error(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 1), (2, 0)], "r long, b long")
+    assert H.rank_trim(rows, F.col("r"), F.col("b")).count() == 2
+    with pytest.raises(ValueError, match=r"ranks \[1\]"):
+        H.rank_trim(rows, F.col("r"), F.col("b"), ranks=3)
+    assert H.rank_trim(rows.limit(0), F.col("r"), F.col("b"), ranks=3).collect() == []
+
+
+def test_runs_go_on_across_borders(spark):
+    rng = random.Random(4)
+    for p in (0.5, 0.97):
+        have = sorted(k for k in range(600) if rng.random() < p)
+        got = sorted(map(tuple, H.runs(spark.createDataFrame([(k,) for k in have], "i long"), "i", bucket=16).select("start", "stop", "count").collect()))
+        want = []
+        for k in have:
+            if want and want[-1][1] == k - 1:
+                want[-1] = (want[-1][0], k, want[-1][2] + 1)
+            else:
+                want.append((k, k, 1))
+        assert got == want
+
+
+def test_selected_groups_keep_the_shuffle_of_the_universe(spark):
+    chosen = [k for k in range(500) if k % 3]
+    positions = spark.createDataFrame(list(zip(chosen, range(len(chosen)))), "sample_index long, position long")
+    rows = H.selected_groups(positions, 3, 1, size=64).orderBy("rank_order").collect()
+    assert [r["rank_order"] for r in rows] == list(range(len(chosen))) and {(r["sample_index"], r["position"]) for r in rows} == set(zip(chosen, range(len(chosen))))
+    order = [r["group"] for r in rows]
+    assert len([1 for a, b in zip(order, order[1:]) if a != b]) == len(set(order)) - 1 and order != sorted(order)
+    parts = [[r["position"] for r in H.selected_groups(positions, 3, 1, 3, k, 64).orderBy("rank_order").collect()] for k in range(3)]
+    assert parts == [[r["position"] for r in rows][k::3] for k in range(3)]
+
+
+def test_live_decisions_must_be_complete(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "sample_index long, label string")
+    assert U.finish_live(rows.where("label is not null"), 2).count() == 2
+    for d, n in ((rows, 3), (rows.where("sample_index > 0"), 2)):
+        with pytest.raises(ValueError, match="incomplete"):
+            U.finish_live(d, n)
+
+
+def test_differing_finds_nested_changes(spark):
+    kind = "sample_index long, a struct<x:array<double>,y:string>"
+    left = spark.createDataFrame([(0, ([1.0, float("nan")], None)), (1, ([0.0], "b")), (2, None), (3, ([], ""))], kind)
+    right = spark.createDataFrame([(0, ([1.0, float("nan")], None)), (1, ([-0.0], "b")), (2, ([], None)), (4, None)], kind)
+    assert sorted((r[0], r[1]) for r in U.differing(left, right).collect()) == [(2, ["a"]), (3, ["a"]), (4, ["a"])]
+
+
+def test_speaker_blocks_and_views(spark):
+    good = [(0, 5, "source"), (1, 5, "target"), (2, 7, "source"), (3, 7, "target")]
+    cells = lambda rows: spark.createDataFrame(rows, "sample_index long, source_index long, role string")
+    assert K.check_blocks(cells(good), ["source", "target"]).count() == 4
+    for bad in ([*good[:3], (3, 8, "target")], [*good[:2], (2, 7, "target"), (3, 7, "source")], [*good, (4, 5, "source"), (5, 5, "target")], good[:3]):
+        with pytest.raises(ValueError):
+            K.check_blocks(cells(bad), ["source", "target"]).count()
+    views = spark.createDataFrame([(0, (([1], [2], None),)), (1, (([1], None, None),))], "sample_index long, a struct<views:struct<p:array<int>,q:array<int>,r:array<int>>>")
+    assert K.shared_view(views, "a", ["p", "q"]) == "p"
+    with pytest.raises(ValueError, match="share"):
+        K.shared_view(views, "a", ["q", "r"])
+    with pytest.raises(ValueError):
+        K.shared_view(views, "a", ["p"], "q")

@@ -332,3 +332,40 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 2
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bounded_writes_and_what_they_need(spark, tmp_path):
+    from tessella.plans import materialize
+
+    rows, path, make = spark.range(10).withColumnRenamed("id", "sample_index"), str(tmp_path / "out"), lambda d: d.withColumn("x", d.sample_index * 2)
+    with pytest.raises(ValueError, match="finalize"):
+        materialize.write_bounded(rows, make, path, max_new_samples=3)
+    assert materialize.write_bounded(rows, make, path, max_new_samples=3, finalize=False) == 7
+    assert materialize.write_bounded(rows, make, path, sample_indexes=[2, 9], finalize=False) == 6
+    assert materialize.write_bounded(rows, make, path) == 0
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(k, 2 * k) for k in range(10)]
+    with pytest.raises(ValueError, match="no result"):
+        materialize.write_bounded(rows, lambda d: make(d).where("sample_index < 5"), str(tmp_path / "other"))
+
+
+def test_stages_chain():
+    from tessella.plans.synthesis import check_chain
+
+    facts = {"lineage": "l", "revision": 3, "config_revision": 1, "sources": 4, "pairs": 8, "coverage": {"en->fr": 8}}
+    parent = {"stage": "source", "snapshot": "s1", "digest": "d1", **facts}
+    child = {"stage": "translation", "upstream_snapshot": "s1", "upstream_digest": "d1", **facts}
+    check_chain(child, parent)
+    for change in ({"upstream_digest": "x"}, {"stage": "speech"}, {"stage": "source"}, {"pairs": 9}, {"revision": 2}, {"coverage": {}}):
+        with pytest.raises(ValueError):
+            check_chain(child | change, parent)
+
+
+def test_items_round_trip(spark):
+    from tessella import schema as S
+
+    rows = spark.createDataFrame([(0, ("x",), ("en",)), (1, None, None)], "sample_index long, v struct<text:string>, m struct<lang:string>").selectExpr("sample_index", "if(v is null, null, struct(v as views, m as meta)) as default_text")
+    got = [r[0] for r in rows.orderBy("sample_index").select(S.items_json(rows)).collect()]
+    assert got == ['[[["default","text"],{"lang":"en"}]]', "[]"] and S.parse_items(got[0]) == {"default_text": {"lang": "en"}} and S.parse_items(got[1]) == {}
+    for bad in ("{}", "[1]", '[[["default"],{}]]', '[[["other","text"],{}]]', '[[["default","text"],{}],[["default","text"],{}]]', "["):
+        with pytest.raises(ValueError):
+            S.parse_items(bad)
