@@ -369,3 +369,14 @@ def test_items_round_trip(spark):
     for bad in ("{}", "[1]", '[[["default"],{}]]', '[[["other","text"],{}]]', '[[["default","text"],{}],[["default","text"],{}]]', "["):
         with pytest.raises(ValueError):
             S.parse_items(bad)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from tessella import queries
+
+    fake = lambda master, folder: Fake(conf=Fake(get=lambda key, default=None: folder), sparkContext=Fake(master=master))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        queries.scratch(fake("yarn", None), "x")
+    assert queries.scratch(fake("yarn", "file:///shared"), "x").startswith("/shared/") and queries.scratch(fake("local[2]", None), "x")
