@@ -85,7 +85,7 @@ def assemble(records: DataFrame) -> DataFrame:
     headers = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
     own = records.where(_USABLE).select("record_id", "type", "concurrent_to", "target_uri", "date", headers.alias("headers"), "block")
     at = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-    own.write.parquet(at)
+    own.write.option("compression", "zstd").parquet(at)
     own = spark.read.schema(own.schema).parquet(at)
     is_primary = F.col("type").isin(*PRIMARY)
     kind = F.when(is_primary, "response").when(F.col("type") == "request", "requests").otherwise("metadata")
