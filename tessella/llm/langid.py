@@ -195,7 +195,8 @@ def sample(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Fit on the bounded sample; a labelled row is one with a non-null lang, doc_id and text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.length("text").alias("size"))
-    rows = texts.join(sample(docs, s), ["doc_id", "lang", "size"]).groupBy("lang", "pick").agg(F.min("text").alias("text")).orderBy("lang", "pick").collect()
+    picked = F.broadcast(sample(docs, s))  # at most ``sample`` ids a language: less than the model itself
+    rows = texts.join(picked, ["doc_id", "lang", "size"]).groupBy("lang", "pick").agg(F.min("text").alias("text")).orderBy("lang", "pick").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], s)
 
 
