@@ -5,9 +5,10 @@ Every assistant turn of a conversation becomes an example of its own: all turns
 ``<|role|>\\n`` + text + ``<|end|>\\n``; an example's ``text`` is its context, the reply's header, and the reply, and ``[train_start,
 train_end)`` is the trainable span in characters.
 
-Defined results: a null text is an empty one (a reply can be empty); a null role is rendered as ``unknown`` and is no assistant; rows of
+Defined results: turns that tie in all of (turn, role, text) are alike, so their order doesn't matter; a very long conversation gives its
+whole context each time; a null text is an empty one (a reply can be empty); a null role is rendered as ``unknown`` and is no assistant; rows of
 a null conv_id form no conversation and give nothing; repeated rows are turns of their own; conversations without an assistant turn
-and empty tables give nothing; other columns are ignored.
+and empty tables give nothing; other columns, whatever their names, are ignored.
 
 Plan: one shuffle by conversation; the turns of a conversation are collected once and sliced for each reply, so what a task holds is a
 conversation and one example at a time.

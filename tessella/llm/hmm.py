@@ -4,7 +4,7 @@ A document is one sequence of words (without case; marks and white space don't c
 its own (told apart by 64-bit hashes), and one more symbol stands for any word that the corpus doesn't have.
 Baum-Welch trains ``states`` latent states on *every* document: each task runs the scaled forward and
 backward recursions over its documents and emits expected counts; the counts are summed across partitions by word, and the
-driver streams them into the next model.  Counts travel as integers of 2**-20, so their sums don't depend on the order of tasks.
+driver streams them into the next model.  Counts travel as integers of 2**-20 (transitions 2**-10), so their sums don't depend on the order of tasks.
 
 The emission table grows with the distinct words.  It lies in the shared folder as two arrays, the sorted hashes and the rows in
 their order, which workers map and of which they copy the rows of one run of documents; neither they nor the driver hold it whole.
@@ -14,7 +14,8 @@ The score of a document is its exact log-likelihood under the trained model, by
 others, the matrices are chained, and so every position has the very forward and backward vectors that it would have without the cut.
 
 Defined results: a null, empty or wordless text has 0 tokens, log-likelihood 0 and a null mean; it adds nothing to training; a repeated
-row counts and is scored each time; a corpus without words leaves the initial model; other columns are ignored.
+row counts and is scored each time; a corpus without words, or an empty table, leaves the initial model (and gives no rows); very long texts are scored whole; there are no ties (a
+text has one likelihood); other columns, whatever their names, are ignored.
 
 Plan: ``rounds`` + 2 narrow scans of the texts; the first shuffles one row for each distinct word of a run of ``flush`` words, and
 so does each round.
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 from . import kernel
 
-_UNIT = float(1 << 20)
+#: Counts travel as integers: of words in 2**-20, of transitions, of which there are as many as words of the corpus, in 2**-10, so that sums fit into 64 bits.
+_UNIT, _HEAD_UNIT = float(1 << 20), float(1 << 10)
 
 
 @dataclass(frozen=True)
@@ -333,7 +335,8 @@ def _rows(held: list[tuple[np.ndarray, Counts]], names: list[str]) -> pa.RecordB
     some, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
     values = np.concatenate([c.emission for _, c in held])
     emission = np.stack([np.bincount(at, values[:, i], len(some)) for i in range(len(names))], axis=1)
-    table = np.rint(np.concatenate([emission, sum(c.initial for _, c in held)[None], sum(c.transition for _, c in held)]) * _UNIT).astype(np.int64)
+    heads = np.concatenate([sum(c.initial for _, c in held)[None], sum(c.transition for _, c in held)])
+    table = np.rint(np.concatenate([emission * _UNIT, heads * _HEAD_UNIT])).astype(np.int64)
     slots = np.concatenate([some, -1 - np.arange(len(names) + 1)]).astype(np.int64)
     return pa.record_batch({"slot": slots, **{n: table[:, i] for i, n in enumerate(names)}})
 
@@ -350,9 +353,9 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
         heads = np.full((s.states + 1, s.states), s.smoothing)
         for batch in ds.dataset(f"{folder}/counts-{k}", format="parquet").to_batches():
             slot = batch.column("slot").to_numpy()
-            values = np.stack([batch.column(f"c{i}").to_numpy() for i in range(s.states)], axis=1) / _UNIT
-            rows[slot[slot >= 0]] += values[slot >= 0]
-            heads[-1 - slot[slot < 0]] += values[slot < 0]
+            values = np.stack([batch.column(f"c{i}").to_numpy() for i in range(s.states)], axis=1)
+            rows[slot[slot >= 0]] += values[slot >= 0] / _UNIT
+            heads[-1 - slot[slot < 0]] += values[slot < 0] / _HEAD_UNIT
         _normalise(rows)
         Path(model.emission.rows_at).unlink()
         model = Model(heads[0] / heads[0].sum(), heads[1:] / heads[1:].sum(axis=1, keepdims=True), Emission(model.emission.words_at, f"{folder}/{k}.npy"))

@@ -10,6 +10,7 @@ lower-casing).  A null text counts as an empty one.
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import unicodedata
@@ -172,7 +173,17 @@ def ngrams(words: Words, n: int, short: bool = False) -> tuple[np.ndarray, np.nd
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable: the cluster's shared folder, or one of our own where none is set (tests)."""
+    """Make ``DataFrame.checkpoint`` usable: the cluster's shared folder; in local mode, where there is one machine, one of our own if none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder in whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -9,8 +9,9 @@ Of several marks in a row only the last can join a letter's piece; the others me
 would leave the two side by side (``encode(a + b) == [a, b]``); then exactly one path reaches each position, the one
 that the merges make, so the ids are those of the library.  Characters outside the vocabulary become byte pieces.
 
-Defined results: null and empty texts have no ids; ``lossless`` is false only where the marks themselves (U+2581) occur in
-the text, since decoding turns them into spaces; repeated rows are each encoded; other columns are ignored; a null doc_id is an ordinary row.
+Defined results: an empty table gives no rows; very long texts are encoded whole; of paths of equal score the one whose last piece is shortest is
+taken (BPE has one path only); null and empty texts have no ids; ``lossless`` is false only where the marks themselves (U+2581) occur in
+the text, since decoding turns them into spaces; repeated rows are each encoded; other columns, whatever their names, are ignored; a null doc_id is an ordinary row.
 
 Plan: one narrow scan, nothing is shuffled; words are shared within a task's batches and, in a bounded cache, across them.
 """

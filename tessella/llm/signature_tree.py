@@ -483,6 +483,8 @@ def _texts(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, DataFrame, D
     if not blocks.where("blocks > 1").isEmpty():
         found = found.union(_across(sets.join(blocks.where("blocks > 1").select("root"), "root", "left_semi"), j))
     found = found.checkpoint()
+    for done in ("lists", "sets"):
+        kernel.remove(spark, f"{base}/{done}")
     links = found.where("b is null").groupBy(F.col("a").alias("f1")).agg(F.sum("links").alias("n_links"))
     named = rows.select("doc_id", "f1", "f2").join(texts, ["f1", "f2"]).select("doc_id", "f1", "f2", "text_id", (F.col("n") - 1).alias("n_copies"))
     return named, links, found.where("b is not null").select("a", "b"), bare

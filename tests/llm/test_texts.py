@@ -325,3 +325,40 @@ def test_pipeline_stages_and_run(spark, library):
     assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] >= sizes[4] > sizes[0] / 2
     final = {r["doc_id"]: r["ids"] for r in C.run(spark, sf).collect()}
     assert final == {r["doc_id"]: library.encode(r["text"]) for r in now.collect()}
+
+
+def test_pipeline_survives_odd_and_empty_tables(spark, odd, empty, library, tmp_path):
+    import corpus_pipeline as C
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (7, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int").selectExpr("*", "'x' as text")
+    bench = spark.createDataFrame([(1, "lorem ipsum dolor"), (2, None), (3, "")], "item_id long, text string").selectExpr("*", "1 as doc_id")
+    clash = odd.selectExpr("*", "1 as f1", "2 as class_id", "3 as n_tokens", "5 as language", "6 as spans")
+    for name, rows in (("odd", clash), ("empty", empty)):
+        home = tmp_path / name
+        rows.write.parquet(f"{home}/documents.parquet")
+        (labels if name == "odd" else labels.limit(0)).write.parquet(f"{home}/labels.parquet")
+        (bench if name == "odd" else bench.limit(0)).write.parquet(f"{home}/benchmark.parquet")
+    out = {r["doc_id"]: r for r in C.run(spark, str(tmp_path / "odd")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    assert set(out) <= {None, 1, 5, 7, 8, 9, 10} and {None, 1, 7} <= set(out)  # without words: 2, 3, 4, 6
+    assert all(r["ids"] == library.encode(texts[i]) for i, r in out.items() if i != 5)
+    if 5 in out:
+        assert out[5]["n_tokens"] < len(library.encode(texts[5])) / 2  # the passage of the benchmark is gone from it
+    assert C.run(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from tessella.llm import kernel
+
+    def session(master, folder):
+        used = []
+        return Fake(conf=Fake(get=lambda key, default=None: folder), sparkContext=Fake(master=master, getCheckpointDir=lambda: None, setCheckpointDir=used.append)), used
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        kernel.shared_checkpoints(session("spark://host:7077", None)[0])
+    for master, folder in (("spark://host:7077", "hdfs://x/y"), ("local[4]", None), ("local", "/x")):
+        fake, used = session(master, folder)
+        kernel.shared_checkpoints(fake)
+        assert len(used) == 1 and (folder is None or used == [folder])
