@@ -51,13 +51,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what lies between them is written to the shared folder."""
+    """All stages; what lies between them is written to the shared folder, and deleted once the next stage is there (but for the last, which the result reads).
+
+    Defined results: rows of null doc_id pass the stages that need none and give a row of null doc_id; null, empty and wordless texts are rejected by the
+    first stage; repeated rows of a doc_id leave one; of similar documents the smallest doc_id stays; very long texts are taken whole; other columns, whatever their
+    names, pass all stages but the last, which has its own; an empty table gives no rows."""
     kernel.shared_checkpoints(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{k}-{name}")
             docs = spark.read.parquet(f"{base}/{k}-{name}")
+            if before:
+                kernel.remove(spark, before)
+            before = f"{base}/{k}-{name}"
     return docs
