@@ -134,6 +134,32 @@ def next_accepted(rows: DataFrame, total: int, max_probe: int = 32, index: str =
     return placed.withColumn("served", served).where((i < total) & (F.col("__block") == F.floor(i / block))).select(index, accepted, "served")
 
 
+def replace_rejected(rows: DataFrame, total: int, buffer_size: int = 64, min_buffer: int = 8, max_probe: int = 32, seed: int = 0, index: str = "sample_index", accepted: str = "accepted") -> DataFrame:
+    """(index, accepted, served) of every row: as :func:`next_accepted`, and where no neighbour will do, one of the ``buffer_size`` accepted rows
+    before it, picked by ``seed``; an error if fewer than ``min_buffer`` came before (a cold start).
+
+    The buffer of a sequential reader is the newest accepted rows, so a row's number among them, which prefix sums give, finds it by an equi-join.
+    """
+    i, picked = F.col(index), F.col(accepted)
+    numbered = prefix_sums(rows.select(index, accepted).withColumn("__one", picked.cast("long")), index, "__one", "__no").drop("__one")
+    known = next_accepted(rows, total, max_probe, index, accepted)
+    lost = known.where("served is null").drop("served").join(numbered.select(index, "__no"), index)
+    back = F.pmod(i * 2654435761 + seed, F.least("__no", F.lit(buffer_size)))
+    cold = F.raise_error(F.concat(F.lit("no accepted row near or before row "), i.cast("string")))
+    lost = lost.withColumn("__at", F.when(F.col("__no") >= min_buffer, F.col("__no") - 1 - back).otherwise(cold.cast("long")))
+    buffer = numbered.where(picked).select(F.col("__no").alias("__at"), i.alias("served"))
+    return known.where("served is not null").union(lost.join(buffer, "__at").select(index, accepted, "served"))
+
+
+def reject_alerts(rows: DataFrame, warn: float = 0.05, maximum: float = 0.2, window: int = 200, index: str = "sample_index", accepted: str = "accepted") -> DataFrame:
+    """(index, reject_ratio, level): rejected rows at which the ratio over a full window is at least ``warn`` (level ``warn``) or ``maximum`` (``error``)."""
+    if not 0 <= warn <= maximum <= 1:
+        raise ValueError("warn and maximum must be ratios, warn not above maximum")
+    ratio = rolling_reject_ratio(rows, window, index, accepted).where(F.col(index) >= window - 1)
+    level = F.when(F.col("reject_ratio") >= maximum, "error").when(F.col("reject_ratio") >= warn, "warn")
+    return ratio.join(rows.where(~F.col(accepted)).select(index), index).withColumn("level", level).where("level is not null")
+
+
 def rolling_reject_ratio(rows: DataFrame, window: int = 200, index: str = "sample_index", accepted: str = "accepted") -> DataFrame:
     """(index, reject_ratio) over the last ``window`` rows, in blocks that overlap by the window."""
     block = 1 << 16

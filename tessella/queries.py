@@ -386,6 +386,26 @@ def next_accepted(spark: SparkSession, sf: str) -> DataFrame:
     return shards.next_accepted(rows, rows.count())
 
 
+_BLOCKS = "acc AS (SELECT doc_id AS sample_index, doc_id % 100 < 50 AS accepted FROM documents)"
+
+
+@query(f"""WITH {_BLOCKS}, n AS (SELECT count(*) AS n FROM acc), d AS (SELECT sample_index AS i, accepted, sample_index AS own FROM acc UNION ALL SELECT sample_index + n.n, accepted, sample_index FROM acc, n WHERE sample_index < 32),
+    s AS (SELECT i AS sample_index, accepted, first_value(CASE WHEN accepted THEN own END IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 32 FOLLOWING) AS served FROM d QUALIFY i < (SELECT n FROM n)),
+    b AS (SELECT *, sum(accepted::INT) OVER (ORDER BY sample_index) - accepted::INT AS k FROM s)
+    SELECT b.sample_index, b.accepted, coalesce(b.served, a.sample_index) AS served FROM b LEFT JOIN b a ON a.accepted AND b.served IS NULL AND a.k = b.k - 1 - (b.sample_index * 2654435761 + 5) % greatest(least(b.k, 16), 1)""")
+def replace_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of which every other run of fifty is rejected: neighbours, then the buffer, take their places."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_index"), (F.col("doc_id") % 100 < 50).alias("accepted"))
+    return shards.replace_rejected(rows, rows.count(), buffer_size=16, seed=5)
+
+
+@query(f"""WITH {_BLOCKS}, r AS (SELECT *, avg(CASE WHEN accepted THEN 0.0 ELSE 1.0 END) OVER (ORDER BY sample_index ROWS 79 PRECEDING) AS x FROM acc)
+    SELECT sample_index, round(x, 9) AS reject_ratio, CASE WHEN x >= 0.6 THEN 'error' ELSE 'warn' END AS level FROM r WHERE sample_index >= 79 AND NOT accepted AND x >= 0.4""")
+def reject_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_index"), (F.col("doc_id") % 100 < 50).alias("accepted"))
+    return shards.reject_alerts(rows, 0.4, 0.6, 80).select("sample_index", F.round("reject_ratio", 9).alias("reject_ratio"), "level")
+
+
 @query(f"WITH {_ACC} SELECT sample_index, round(avg(CASE WHEN accepted THEN 0.0 ELSE 1.0 END) OVER (ORDER BY sample_index ROWS 199 PRECEDING), 9) AS reject_ratio FROM acc")
 def rolling_reject_ratio(spark: SparkSession, sf: str) -> DataFrame:
     rows = _label(spark, sf).select("sample_index", F.coalesce(F.col("quality") == 1, F.lit(True)).alias("accepted"))

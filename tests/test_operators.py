@@ -342,3 +342,15 @@ def test_speaker_blocks_and_views(spark):
         K.shared_view(views, "a", ["q", "r"])
     with pytest.raises(ValueError):
         K.shared_view(views, "a", ["p"], "q")
+
+
+def test_rejected_rows_are_replaced_from_the_buffer(spark):
+    flags = [k < 10 or k >= 60 for k in range(80)]
+    rows = spark.createDataFrame(list(enumerate(flags)), "sample_index long, accepted boolean").repartition(3)
+    got = {r[0]: r[2] for r in H.replace_rejected(rows, 80, buffer_size=4, min_buffer=8, max_probe=5, seed=1).collect()}
+    assert len(got) == 80 and all(got[k] == k for k in range(80) if flags[k]) and all(got[k] == 60 for k in range(55, 60))
+    assert all(got[k] == 9 - (k * 2654435761 + 1) % 4 for k in range(10, 55)) and {got[k] for k in range(10, 55)} == {6, 7, 8, 9}
+    with pytest.raises(Exception, match="no accepted row near or before row"):
+        H.replace_rejected(rows, 80, min_buffer=11, max_probe=5).collect()
+    with pytest.raises(ValueError):
+        H.reject_alerts(rows, 0.5, 0.4)
