@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,45 @@ def _voices(rows: DataFrame, spec: Spec) -> DataFrame:
     return rows.withColumn("file", F.struct(F.concat_ws("/", F.lit(spec.path), "locale", F.lit("clips"), "path").cast("binary").alias("data"), F.lit("path").alias("suffix")))
 
 
+SPLITS = ("train", "dev", "test", "validated", "invalidated", "other", "reported")
+
+
+def corpus_root(root: str, version: str | None = None) -> tuple[Path, str | None]:
+    """(directory, version) of a voice corpus: ``root`` itself, or the ``cv-corpus-<version>..`` in it that is asked for, else the newest."""
+    own = re.fullmatch(r"cv-corpus-(\d+(?:\.\d+)*)(?:-.*)?", Path(root).name)
+    found = {}
+    for d in Path(root).iterdir():
+        if d.is_dir() and (m := re.fullmatch(r"cv-corpus-(\d+(?:\.\d+)*)(?:-.*)?", d.name)):
+            found.setdefault(m[1], []).append(d)
+    if not found:
+        if version is not None and (own is None or version not in (own[1], own[0])):
+            raise FileNotFoundError(f"{root} has no corpus of version {version}")
+        return Path(root), own[1] if own else None
+    if version is None:
+        version = max(found, key=lambda v: tuple(map(int, v.split("."))))
+    chosen = [d for v, ds in found.items() for d in ds if version in (v, d.name)]
+    if not chosen:
+        raise FileNotFoundError(f"{root} has versions {sorted(found)}, not {version}")
+    if len(chosen) > 1:
+        raise ValueError(f"version {version} is ambiguous: {sorted(d.name for d in chosen)}")
+    return chosen[0], next(v for v, ds in found.items() if chosen[0] in ds)
+
+
+def common_voice(spark: SparkSession, root: str, split: str = "train", languages: tuple[str, ...] | None = None, version: str | None = None) -> DataFrame:
+    """Samples of a voice corpus: of one of its versions and some of its languages (all that have the split, if none are named), in their order."""
+    if split not in SPLITS:
+        raise ValueError(f"split must be one of {SPLITS}")
+    home, found = corpus_root(root, version)
+    have = sorted(d.name for d in home.iterdir() if (d / f"{split}.tsv").is_file())
+    wanted = list(dict.fromkeys(languages or have))
+    if lost := [x for x in wanted if x not in have] or ([] if wanted else ["any language"]):
+        raise FileNotFoundError(f"{home} has no {split}.tsv of {lost}")
+    rows = read(spark, Spec.of("tsv", str(home), split, found, subdirs=tuple(wanted), root_field="_root"))
+    clip = F.concat_ws("/", "_root", F.lit("clips"), "path")
+    rows = rows.withColumn("file", F.struct(clip.cast("binary").alias("data"), F.lit("path").alias("suffix"))).drop("_root")
+    return rowmap.samples(rows, PRESETS["common_voice"].items(Spec("tsv", str(home), split, found, ())))
+
+
 PRESETS: dict[str, Preset] = {
     "mnist": Preset("table", "train", lambda s: [("default_image", Item({"pixel": ("image", "bytes")}, {"label": "label"}))]),
     "cifar10": Preset("table", "train", lambda s: [("default_image", Item({"pixel": ("img", "bytes")}, {"label": "label"}))]),

@@ -380,3 +380,24 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         queries.scratch(fake("yarn", None), "x")
     assert queries.scratch(fake("yarn", "file:///shared"), "x").startswith("/shared/") and queries.scratch(fake("local[2]", None), "x")
+
+
+def test_voice_corpora_have_versions_and_languages(spark, tmp_path):
+    from tessella.sources.presets import common_voice, corpus_root
+
+    for corpus, langs in (("cv-corpus-9.0-2022-04-27", ("de",)), ("cv-corpus-17.0-2024-03-15", ("de", "en", "fr"))):
+        for lang in langs:
+            home = tmp_path / corpus / lang
+            home.mkdir(parents=True)
+            (home / "train.tsv").write_text(f"client_id\tpath\tsentence\tlocale\nspeaker\tclip.mp3\t{corpus[10:12]} {lang}\t{lang}\n")
+    load = lambda **k: [(r["default_text"]["views"]["text"], r["default_text"]["meta"]["lang"], r["default_audio"]["views"]["file"]["data"].decode()) for r in common_voice(spark, str(tmp_path), **k).orderBy("sample_index").collect()]
+    newest = load()
+    assert [x[:2] for x in newest] == [("17 de", "de"), ("17 en", "en"), ("17 fr", "fr")]
+    assert newest[0][2] == str(tmp_path / "cv-corpus-17.0-2024-03-15" / "de" / "clips" / "clip.mp3")
+    assert [x[1] for x in load(languages=("fr", "de", "fr"))] == ["fr", "de"] and [x[0] for x in load(version="9.0")] == ["9. de"]
+    assert corpus_root(str(tmp_path / "cv-corpus-9.0-2022-04-27"))[1] == "9.0"
+    for bad in ({"version": "8"}, {"languages": ("es",)}, {"split": "test"}):
+        with pytest.raises(FileNotFoundError):
+            load(**bad)
+    with pytest.raises(ValueError):
+        load(split="all")
