@@ -17,7 +17,7 @@ Defined results: a null, empty or wordless text has 0 tokens, log-likelihood 0 a
 row counts and is scored each time; a corpus without words, or an empty table, leaves the initial model (and gives no rows); very long texts are scored whole; there are no ties (a
 text has one likelihood); other columns, whatever their names, are ignored.
 
-Plan: ``rounds`` + 2 narrow scans of the texts; the first shuffles one row for each distinct word of a run of ``flush`` words, and
+Plan: at most ``rounds`` + 2 narrow scans of the texts; the first shuffles one row for each distinct word of a run of ``flush`` words, and
 so does each round.
 """
 
@@ -46,7 +46,9 @@ class Settings:
     states: int = 4
     #: top bits of a word's hash that choose its row of the initial model
     bits: int = 15
+    #: rounds at most; training ends once a round raised the log-likelihood by less than this share of it
     rounds: int = 3
+    tolerance: float = 1e-5
     #: added to every expected count
     smoothing: float = 0.1
     segment: int = 512
@@ -118,6 +120,7 @@ class Counts:
     initial: np.ndarray
     transition: np.ndarray
     emission: np.ndarray
+    likelihood: float = 0.0
 
     @classmethod
     def none(cls, s: Settings) -> Counts:
@@ -309,7 +312,8 @@ def _normalise(rows: np.ndarray) -> None:
 
 
 def counts(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
-    """(slot, c0 ..): expected counts over all documents; slots from 0 are rows of the emission table, -1 the initial state, -2 - i the transitions out of i."""
+    """(slot, c0 ..): expected counts over all documents; slots from 0 are rows of the emission table, -1 the initial state, -2 - i the
+    transitions out of i, and the last the log-likelihood under ``model``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(s.states)]
 
@@ -318,7 +322,7 @@ def counts(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
         for _, symbols, bounds in _sequences(batches, s, ids=False):
             model, local, slots = shared.value.part(symbols)
             total = Counts(np.zeros(s.states), np.zeros((s.states, s.states)), np.zeros((len(slots), s.states)))
-            Recursion(model, local, bounds, s.segment).expect(total)
+            total.likelihood = Recursion(model, local, bounds, s.segment).expect(total)
             held.append((slots, total))
             words += len(symbols)
             if words >= s.flush:
@@ -335,9 +339,11 @@ def _rows(held: list[tuple[np.ndarray, Counts]], names: list[str]) -> pa.RecordB
     some, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
     values = np.concatenate([c.emission for _, c in held])
     emission = np.stack([np.bincount(at, values[:, i], len(some)) for i in range(len(names))], axis=1)
-    heads = np.concatenate([sum(c.initial for _, c in held)[None], sum(c.transition for _, c in held)])
+    likelihood = np.zeros((1, len(names)))
+    likelihood[0, 0] = sum(c.likelihood for _, c in held)
+    heads = np.concatenate([sum(c.initial for _, c in held)[None], sum(c.transition for _, c in held), likelihood])
     table = np.rint(np.concatenate([emission * _UNIT, heads * _HEAD_UNIT])).astype(np.int64)
-    slots = np.concatenate([some, -1 - np.arange(len(names) + 1)]).astype(np.int64)
+    slots = np.concatenate([some, -1 - np.arange(len(names) + 2)]).astype(np.int64)
     return pa.record_batch({"slot": slots, **{n: table[:, i] for i, n in enumerate(names)}})
 
 
@@ -346,11 +352,13 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     model = Model(first.initial, first.transition, vocabulary(docs, s, folder))
     if not len(model.emission.words):
         return model
+    before = None
     for k in range(s.rounds):
         counts(docs, model, s).write.parquet(f"file://{folder}/counts-{k}")
         rows = np.lib.format.open_memmap(f"{folder}/{k}.npy", "w+", np.float64, (len(model.emission.words) + 1, s.states))
         rows[:] = s.smoothing
-        heads = np.full((s.states + 1, s.states), s.smoothing)
+        heads = np.full((s.states + 2, s.states), s.smoothing)
+        heads[-1] = 0
         for batch in ds.dataset(f"{folder}/counts-{k}", format="parquet").to_batches():
             slot = batch.column("slot").to_numpy()
             values = np.stack([batch.column(f"c{i}").to_numpy() for i in range(s.states)], axis=1)
@@ -358,7 +366,12 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
             heads[-1 - slot[slot < 0]] += values[slot < 0] / _HEAD_UNIT
         _normalise(rows)
         Path(model.emission.rows_at).unlink()
+        *heads, (now, *_) = heads
+        heads = np.array(heads)
         model = Model(heads[0] / heads[0].sum(), heads[1:] / heads[1:].sum(axis=1, keepdims=True), Emission(model.emission.words_at, f"{folder}/{k}.npy"))
+        if before is not None and now - before < s.tolerance * abs(before):
+            break
+        before = now
     return model
 
 

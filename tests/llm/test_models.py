@@ -49,8 +49,8 @@ def test_recursions_equal_brute_force(segment):
     got = hmm.Counts.none(s)
     assert np.allclose(hmm.Recursion(model, symbols, bounds, segment).likelihood(len(lengths)), likelihoods)
     assert math.isclose(hmm.Recursion(model, symbols, bounds, segment).expect(got), sum(likelihoods))
-    for x, y in zip(vars(got).values(), vars(want).values()):
-        assert np.allclose(x, y)
+    for name in ("initial", "transition", "emission"):
+        assert np.allclose(getattr(got, name), getattr(want, name))
 
 
 def test_training_raises_the_likelihood_and_scores_are_exact(spark, documents):
@@ -66,6 +66,16 @@ def test_training_raises_the_likelihood_and_scores_are_exact(spark, documents):
         assert math.isclose(scored[r["doc_id"]]["log_likelihood"], brute(model, symbols)[0], rel_tol=1e-9)
 
 
+def test_training_ends_when_it_gains_little(documents, monkeypatch):
+    ran = []
+    count = hmm.counts
+    monkeypatch.setattr(hmm, "counts", lambda *x: (ran.append(1), count(*x))[1])
+    hmm.train(documents, hmm.Settings(rounds=4, tolerance=1.0))
+    assert len(ran) == 2  # the second round tells what the first gained
+    hmm.train(documents, hmm.Settings(rounds=3, tolerance=0.0))
+    assert len(ran) == 5
+
+
 def test_hmm_odd_rows(odd, empty):
     rows = hmm.score(odd, hmm.Settings(bits=8, rounds=1)).collect()
     assert len(rows) == 12
