@@ -30,6 +30,7 @@ from functools import cached_property
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
@@ -110,7 +111,7 @@ class Model:
 
     def part(self, symbols: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
         """The model of the words that occur in ``symbols``, the symbols in it, and the row numbers of its words."""
-        words, local = np.unique(symbols, return_inverse=True)
+        words, local = _distinct(symbols)
         slots = self.emission.slots(words)
         return Model(self.initial, self.transition, np.array(self.emission.rows[slots])), local, slots
 
@@ -127,6 +128,15 @@ class Counts:
         return cls(np.zeros(s.states), np.zeros((s.states, s.states)), np.zeros((1 << s.bits, s.states)))
 
 
+def _distinct(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with its inverse, but only the distinct symbols are sorted."""
+    local, words = pd.factorize(symbols)
+    order = np.argsort(words)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return words[order], rank[local]
+
+
 def symbols_of(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the bounds of the texts."""
     words = kernel.Words(texts)
@@ -280,7 +290,7 @@ def vocabulary(docs: DataFrame, s: Settings, folder: str) -> Emission:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for _, symbols, _ in _sequences(batches, s, ids=False):
-            held.append(np.unique(symbols))
+            held.append(np.sort(pd.unique(symbols)))
             n += len(symbols)
             if n >= s.flush:
                 yield pa.record_batch({"word": np.unique(np.concatenate(held))})
