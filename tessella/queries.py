@@ -419,10 +419,11 @@ def unit_cost_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def cost_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches of documents by their length (a sequential plan; tested against an exhaustive model)."""
+    """Batches of documents by their length (a sequential plan; tested against an exhaustive model).  A document without characters costs 1, as costs must be positive."""
     docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "sample_index")
-    budget = docs.agg(F.max("n_chars")).first()[0]
-    planned = batching.plan_batches(docs, F.col("n_chars"), batching.Plan(int(budget)), shards.group_of(F.col("sample_index")))
+    cost = F.greatest("n_chars", F.lit(1))  # passes over nulls
+    budget = docs.agg(F.max(cost)).first()[0] or 1
+    planned = batching.plan_batches(docs, cost, batching.Plan(int(budget)), shards.group_of(F.col("sample_index")))
     return batching.batch_summary(planned)
 
 

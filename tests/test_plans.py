@@ -401,3 +401,20 @@ def test_voice_corpora_have_versions_and_languages(spark, tmp_path):
             load(**bad)
     with pytest.raises(ValueError):
         load(split="all")
+
+
+def odd_documents(spark, folder, texts):
+    """A documents table of the given texts in ``folder``, which it returns."""
+    rows = [(i, x, "en", "s", None if x is None else len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_documents_without_characters_get_into_batches(spark, tmp_path):
+    from tessella import queries
+
+    texts = ["word " * 8, "", "  ", "abc", None, "x" * 40]
+    got = queries.QUERIES["cost_batches"](spark, odd_documents(spark, tmp_path / "odd", texts)).collect()
+    assert sum(r["samples"] for r in got) == 6 and sum(r["cost"] for r in got) == 40 + 1 + 2 + 3 + 1 + 40 and max(r["cost"] for r in got) <= 40
+    assert queries.QUERIES["cost_batches"](spark, odd_documents(spark, tmp_path / "none", [])).collect() == []
+    assert [r["cost"] for r in queries.QUERIES["cost_batches"](spark, odd_documents(spark, tmp_path / "bare", ["", ""])).collect()] == [1, 1]
