@@ -521,10 +521,10 @@ def sample_combine(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id AS sample_index, list_filter(string_split(text, ' '), lambda x: x <> '')[1] AS first_word, length(text) AS n FROM documents")
 def materialized_view(spark: SparkSession, sf: str) -> DataFrame:
-    """A text provider's new view, next to what is kept."""
+    """A text provider's new view, next to what is kept; a text of nothing but spaces has no first word."""
 
     def factory():
-        return lambda batch: [[x.split(" ")[0] if x.split(" ")[0] else next(w for w in x.split(" ") if w), str(len(x))] for x in batch["c0"]]
+        return lambda batch: [[x.lstrip(" ").split(" ", 1)[0] or None, str(len(x))] for x in batch["c0"]]
 
     out = materialize.ViewMaterializer("speakers", factory, ("text",), modality="text")(texts(spark, sf))
     made = F.col("default_text.views.speakers")

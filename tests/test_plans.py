@@ -418,3 +418,11 @@ def test_documents_without_characters_get_into_batches(spark, tmp_path):
     assert sum(r["samples"] for r in got) == 6 and sum(r["cost"] for r in got) == 40 + 1 + 2 + 3 + 1 + 40 and max(r["cost"] for r in got) <= 40
     assert queries.QUERIES["cost_batches"](spark, odd_documents(spark, tmp_path / "none", [])).collect() == []
     assert [r["cost"] for r in queries.QUERIES["cost_batches"](spark, odd_documents(spark, tmp_path / "bare", ["", ""])).collect()] == [1, 1]
+
+
+def test_texts_without_words_have_views(spark, tmp_path):
+    from tessella import queries
+
+    texts = ["", "  ", "  lead in", "\nline two", None, "one"]
+    got = queries.QUERIES["materialized_view"](spark, odd_documents(spark, tmp_path, texts)).orderBy("sample_index").collect()
+    assert [tuple(r) for r in got] == [(0, None, 0), (1, None, 2), (2, "lead", 9), (3, "\nline", 9), (4, None, None), (5, "one", 3)]
