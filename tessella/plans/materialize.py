@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import schema as S
+from ..functions import batches as B
 from .store import refs
 
 Provider = Callable[[pd.DataFrame], Sequence]
@@ -35,35 +38,31 @@ def call_split(provider: Provider, batch: pd.DataFrame, exhausted: type[BaseExce
     return out
 
 
-def provide(factory: Callable[[], Provider], kind: str, batch_size: int = 256) -> Callable[..., Column]:
-    """Column function of a provider; rows whose first input is null get null."""
+def provide(factory: Callable[[], Provider], kind: str, batch_size: int = B.ROWS) -> Callable[..., Column]:
+    """Column function of a provider; rows whose first input is null get null (or a struct of nulls).
 
-    def outputs(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+    A provider gets at most ``batch_size`` rows, and fewer where they are large; what it made of them leaves the worker before the next.
+    """
+    made = to_arrow_type(t.DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         provider = factory()
-        for batch in batches:
-            batch = batch.reset_index(drop=True)
+        for batch in B.pieces(batches, batch_size):
             out, some = [None] * len(batch), batch.index[batch.iloc[:, 0].notna()]
-            values = [v for k in range(0, len(some), batch_size) for v in call_split(provider, batch.loc[some[k : k + batch_size]])]
-            for i, v in zip(some, values):
+            for i, v in zip(some, call_split(provider, batch.loc[some]) if len(some) else []):
                 out[i] = v
-            yield out
+            yield _array(out, made)
 
-    names = t.DataType.fromDDL(kind).names if kind.startswith("struct") else []
-    if names:
-
-        @F.pandas_udf(kind)
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for out in outputs(batches):
-                yield pd.DataFrame({n: pd.Series([v[n] if v is not None else None for v in out], dtype=object) for n in names})
-
-    else:
+    return lambda *inputs: run(F.struct(*(F.col(c).alias(f"c{i}") if isinstance(c, str) else c.alias(f"c{i}") for i, c in enumerate(inputs))))
 
-        @F.pandas_udf(kind)
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-            for out in outputs(batches):
-                yield pd.Series(out, dtype=object)
 
-    return lambda *inputs: run(F.struct(*(F.col(c).alias(f"c{i}") if isinstance(c, str) else c.alias(f"c{i}") for i, c in enumerate(inputs))))
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """Outputs in Arrow; those of a struct name its fields."""
+    if not pa.types.is_struct(kind):
+        return pa.Array.from_pandas(pd.Series(values, dtype=object), type=kind)
+    parts = [pa.Array.from_pandas(pd.Series([None if v is None else v[f.name] for v in values], dtype=object), type=f.type) for f in kind]
+    return pa.StructArray.from_arrays(parts, fields=list(kind))
 
 
 @dataclass(frozen=True)

@@ -426,3 +426,41 @@ def test_texts_without_words_have_views(spark, tmp_path):
     texts = ["", "  ", "  lead in", "\nline two", None, "one"]
     got = queries.QUERIES["materialized_view"](spark, odd_documents(spark, tmp_path, texts)).orderBy("sample_index").collect()
     assert [tuple(r) for r in got] == [(0, None, 0), (1, None, 2), (2, "lead", 9), (3, "\nline", 9), (4, None, None), (5, "one", 3)]
+
+
+def test_providers_hold_one_piece_at_a_time(spark):
+    rows = spark.createDataFrame([(i, None if i == 7 else "x" * (1 + i % 5) * (400_000 if i in (3, 900) else 1)) for i in range(1000)], "sample_index long, x string").coalesce(1)
+    spans = []
+
+    def factory():
+        held = []  # sizes and output rows of the batches so far
+
+        def provider(batch):
+            held.append((len(batch), int(batch["c0"].str.len().sum())))
+            return [{"data": [[0.5] * len(x)], "sample_rate": len(held)} for x in batch["c0"]]
+
+        return provider
+
+    wave = materialize.provide(factory, "struct<data:array<array<float>>,sample_rate:int>")("x")
+    got = rows.select("sample_index", F.length("x").alias("n"), F.size(wave["data"][0]).alias("made"), wave["sample_rate"].alias("call")).orderBy("sample_index").collect()
+    assert len(got) == 1000 and all(r["made"] == r["n"] for r in got if r["sample_index"] != 7) and got[7]["made"] is None and got[7]["call"] is None
+    for call in {r["call"] for r in got} - {None}:
+        own = [r["n"] for r in got if r["call"] == call]
+        spans.append(len(own))
+        assert len(own) <= 256 and (sum(own) <= 1 << 20 or len(own) == 1)
+    assert sum(spans) == 999 and len(spans) > 4
+
+
+def test_batches_are_cut_without_loss():
+    import pyarrow as pa
+
+    from tessella.functions import batches
+
+    batch = pa.StructArray.from_arrays([pa.array(["a" * 10] * 600 + [None, "b" * 5000, "c"]), pa.array([[[1.0], [2.0, 3.0]]] * 603)], ["c0", "c1"])
+    parts = list(batches.cut(batch, 256, 4000))
+    assert pa.concat_arrays(parts).equals(batch) and all(len(p) <= 256 and (p.nbytes <= 4000 or len(p) == 1) for p in parts)
+    frames = list(batches.pieces(iter([batch, batch.slice(0, 0), batch]), 256, 4000))
+    assert sum(map(len, frames)) == 1206 and frames[0]["c0"][0] == "a" * 10 and [list(x) for x in frames[0]["c1"][0]] == [[1.0], [2.0, 3.0]]
+    times = pa.StructArray.from_arrays([pa.array([0], pa.timestamp("us", "Europe/Berlin")), pa.array([[("k", 1)]], pa.map_(pa.string(), pa.int64()))], ["t", "m"])
+    frame = next(batches.pieces(iter([times])))
+    assert str(frame["t"][0]) == "1970-01-01 01:00:00" and frame["m"][0] == {"k": 1}
