@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import batches as B
 from ..functions import numbers as N
 from ..functions import text as T
 
@@ -177,8 +179,8 @@ class TranslationQuality:
 class ModelScore:
     """Score of a model in [0, 1]; at least ``min_score`` accepts.  Covers acceptability of a text and adequacy of a pair.
 
-    ``factory`` makes the scorer once for each task: it takes a pandas DataFrame of the ``columns`` and returns one number a row.
-    A null text rejects without a call.
+    ``factory`` makes the scorer once for each task: it takes a pandas DataFrame of the ``columns``, at most 256 rows and fewer where they
+    are large, and returns one number a row.  A null text rejects without a call.
     """
 
     factory: Callable[[], Callable[[pd.DataFrame], Sequence[float]]]
@@ -190,10 +192,10 @@ class ModelScore:
         _ratio("min_score", self.min_score)
         factory, names = self.factory, self.columns
 
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             scorer = factory()
-            for batch in batches:
+            for batch in B.pieces(batches):
                 out = pd.Series(float("nan"), index=batch.index)
                 some = batch.notna().all(axis=1)
                 if some.any():
@@ -201,7 +203,7 @@ class ModelScore:
                     if len(values) != int(some.sum()) or not all(0 <= v <= 1 for v in values):
                         raise ValueError("a scorer must return one number from 0 to 1 for each row")
                     out[some] = values
-                yield out
+                yield pa.array(out, pa.float64(), from_pandas=True)
 
         out = samples.withColumn("__s", score(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))))
         lost = F.isnan("__s") | F.col("__s").isNull()
@@ -224,15 +226,15 @@ class CorrectionDistance:
         _ratio("max_edit_ratio", self.max_edit_ratio)
         factory, text = self.factory, T.normalize_space(F.col(f"{self.role}_text.views.text"))
 
-        @F.pandas_udf("string")
-        def correct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("string")
+        def correct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             corrector = factory()
-            for batch in batches:
-                out, some = pd.Series([None] * len(batch), index=batch.index, dtype=object), batch.notna()
-                out[some] = list(corrector(batch[some].tolist())) if some.any() else []
-                yield out
+            for batch in B.pieces(batches):
+                out, some = pd.Series([None] * len(batch), index=batch.index, dtype=object), batch["t"].notna()
+                out[some] = list(corrector(batch["t"][some].tolist())) if some.any() else []
+                yield pa.array(out, pa.string(), from_pandas=True)
 
-        out = samples.withColumn("__t", text).withColumn("__c", correct(F.col("__t")))
+        out = samples.withColumn("__t", text).withColumn("__c", correct(F.struct(F.col("__t").alias("t"))))
         edits = F.levenshtein("__t", "__c").cast("long")
         ratio = edits / F.greatest(T.nonspace_len(F.col("__t")), F.lit(1))
         tests = [("invalid_text", edits.isNull()), ("edit_count_high", edits > self.max_edits if self.max_edits is not None else F.lit(False)), ("edit_ratio_high", ratio > self.max_edit_ratio)]
