@@ -1,7 +1,7 @@
 """Arrow batches in Python workers, in pieces of bounded size.
 
-Spark cuts its batches by rows alone (10,000 of them), however long these are.  A worker that makes objects of all rows of one, and holds
-what it makes of them, grows with the batch; one that goes through it in pieces holds the batch in Arrow and one piece in objects.
+Spark cuts its batches at 10,000 rows or 64 MiB, unless set otherwise.  A worker that makes objects of all rows of one, and holds what it
+makes of them, takes many times that; one that goes through it in pieces holds the batch in Arrow and one piece in objects.
 """
 
 from __future__ import annotations
